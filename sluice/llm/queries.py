@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.byte_shards import byte_shards
+from sluice.llm.lang_gru import identify, remainder
 from sluice.llm.simhash import near_duplicates
 
 
@@ -21,6 +22,14 @@ def op7_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language; rows of remainder 2 are held out from training."""
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, remainder(docs["doc_id"]) != 2).select(
+        "doc_id", F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight contiguous shards of nearly equal bytes."""
     placed = byte_shards(table(spark, sf_dir, "documents"), shards=8)
@@ -29,6 +38,7 @@ def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash_pigeonring": op7_simhash_pigeonring,
+    "op8_language_gru": op8_language_gru,
     "op9_byte_shards": op9_byte_shards,
 }
 
