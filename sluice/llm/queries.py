@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.byte_shards import byte_shards
+from sluice.llm.decontaminate import leaks
 from sluice.llm.lang_gru import identify, remainder
+from sluice.llm.packing import pack_documents
 from sluice.llm.simhash import near_duplicates
 
 
@@ -16,6 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    """The public vocabulary file that packing counts with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in sequences of 4096 ids."""
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op7_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and near-copy component."""
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, bits=4)
@@ -36,10 +50,17 @@ def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_edit_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it holds within the item's edit budget."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_nnls_packing": op3_nnls_packing,
     "op7_simhash_pigeonring": op7_simhash_pigeonring,
     "op8_language_gru": op8_language_gru,
     "op9_byte_shards": op9_byte_shards,
+    "op10_edit_leaks": op10_edit_leaks,
 }
 
 ORACLE_SQL: dict[str, str] = {}
