@@ -11,6 +11,7 @@ from sluice.llm.byte_shards import byte_shards
 from sluice.llm.decontaminate import leaks
 from sluice.llm.lang_gru import identify, remainder
 from sluice.llm.packing import pack_documents
+from sluice.llm.pii_crf import find
 from sluice.llm.simhash import near_duplicates
 
 
@@ -30,6 +31,11 @@ def op3_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the pattern spans, and all spans."""
+    return find(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and near-copy component."""
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, bits=4)
@@ -57,6 +63,7 @@ def op10_edit_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_nnls_packing": op3_nnls_packing,
+    "op4_pii_field": op4_pii_field,
     "op7_simhash_pigeonring": op7_simhash_pigeonring,
     "op8_language_gru": op8_language_gru,
     "op9_byte_shards": op9_byte_shards,
