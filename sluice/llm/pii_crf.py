@@ -297,8 +297,20 @@ def runs(shapes: bytes) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def sound(kind: int, text: str) -> bool:
+    """Whether a field's span holds what its kind needs: labels alone don't make an address of any host name."""
+    digits = _NOT_DIGITS.sub("", text)
+    if kind == 0:
+        return bool(re.search(r"@|[\[(]at[\])]", text, re.IGNORECASE))
+    if kind == 1:
+        return bool(_IP.fullmatch(text))
+    if kind == 2:
+        return 14 <= len(digits) <= 19 and luhn(digits)
+    return 10 <= len(digits) <= 15
+
+
 def added_spans(text: str, marked: list[tuple[int, int]], base: list[Span]) -> list[Span]:
-    """The field's spans that touch no base span. marked: (place of a word, its label), by place."""
+    """The field's sound spans that touch no base span. marked: (place of a word, its label), by place."""
     words = {}
     wanted = {k for k, _ in marked}
     last = max(wanted)
@@ -321,7 +333,7 @@ def added_spans(text: str, marked: list[tuple[int, int]], base: list[Span]) -> l
             start += 1
         while end > start and not text[end - 1].isalnum():
             end -= 1
-        if start < end and all(end <= s or e <= start for s, _, e in base):
+        if start < end and sound(kind, text[start:end]) and all(end <= s or e <= start for s, _, e in base):
             out.append((start, kind, end))
     return out
 

@@ -13,6 +13,7 @@ from sluice.llm.lang_gru import identify, remainder
 from sluice.llm.packing import pack_documents
 from sluice.llm.pii_crf import find
 from sluice.llm.simhash import near_duplicates
+from sluice.llm.suffix_dedup import remove_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,12 @@ def op4_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"))
 
 
+def op6_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words without passages of 20 words that occur earlier."""
+    kept = remove_repeats(table(spark, sf_dir, "documents"), window=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and near-copy component."""
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, bits=4)
@@ -64,6 +71,7 @@ def op10_edit_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_nnls_packing": op3_nnls_packing,
     "op4_pii_field": op4_pii_field,
+    "op6_prefix_suffix_trees": op6_prefix_suffix_trees,
     "op7_simhash_pigeonring": op7_simhash_pigeonring,
     "op8_language_gru": op8_language_gru,
     "op9_byte_shards": op9_byte_shards,

@@ -82,6 +82,8 @@ FIELD = P.train()
         ("pay by 4539.5787.6362.1486 today", ["card:7:26"]),
         ("dial 212-555-0187 now", ["phone:5:17"]),
         ("we met at the dot (see 12.4.300.1), 1234567890123456", []),
+        ("see a.example b.example.org c.example thing.lek thing.lek", []),
+        ("call +1 (269) 555-3296 4524132264652876 and", ["phone:5:22", "card:23:39"] if P.luhn("4524132264652876") else ["phone:5:22"]),
         ("mail a.b@c.example.org or +1 (017) 555-7713", ["email:5:22", "phone:26:43"]),
     ],
 )
