@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.byte_shards import byte_shards
+from sluice.llm.cover_tree import top_k
 from sluice.llm.decontaminate import leaks
 from sluice.llm.lang_gru import identify, remainder
 from sluice.llm.packing import pack_documents
@@ -20,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest by inner product of every hundredth vector, over all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
+
+
 def vocabulary() -> str:
     """The public vocabulary file that packing counts with."""
     import public_tokenizers
@@ -69,6 +76,7 @@ def op10_edit_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cover_tree_topk": op1_cover_tree_topk,
     "op3_nnls_packing": op3_nnls_packing,
     "op4_pii_field": op4_pii_field,
     "op6_prefix_suffix_trees": op6_prefix_suffix_trees,
