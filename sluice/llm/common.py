@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +60,20 @@ def pairs_of(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, str]
                 yield i, text or ""
 
 
+def where_texts(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
+    """The rows of docs, all columns, whose text passes; judge() makes, once a task, what judges texts (null: empty)."""
+    at, schema = docs.columns.index(text_col), docs.schema
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = judge()
+        for part in parts:
+            for start in range(0, part.num_rows, 2048):
+                piece = part.slice(start, 2048)
+                yield piece.filter(pa.array(passes([t or "" for t in piece.column(at).to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(run, schema)
+
+
 def _forest(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of one task's links, a star for each local component."""
     up: dict[int, int] = {}

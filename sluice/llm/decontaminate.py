@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import batches, only, pairs_of
+from sluice.llm.common import batches, only, pairs_of, where_texts
 
 RATE = 0.1  # edits for each character of an item
 BLOCK_CHARS = 8_000_000
@@ -124,16 +124,20 @@ class Finder:
                 yield item_id, best, end
 
 
-def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, distance, match_end) of each document and item within the item's budget."""
-    spark = docs.sparkSession
+def _blocks(items: DataFrame, item_id: str, item_text: str) -> Iterator:
+    """Broadcasts of (id, compared form), a block of the items each."""
     listed = items.select(items[item_id].cast("long").alias("id"), items[item_text].cast("string").alias("text")).where("text is not null")
     chars = listed.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = -(-chars // BLOCK_CHARS) or 1
-    texts, out = only(docs, "doc_id", "text"), None
     for block in range(blocks):
         part = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block)
-        sent = spark.sparkContext.broadcast([(r.id, normal(r.text)) for r in part.collect()])
+        yield items.sparkSession.sparkContext.broadcast([(r.id, normal(r.text)) for r in part.collect()])
+
+
+def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, item_id, distance, match_end) of each document and item within the item's budget."""
+    texts, out = only(docs, "doc_id", "text"), None
+    for sent in _blocks(items, item_id, item_text):
 
         def search(parts: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             finder = Finder(sent.value, rate)
@@ -144,7 +148,13 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, item_id: str =
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
-    """docs without those that hold an item; rows of a null doc_id can't be named and stay."""
-    found = leaks(docs, items, rate).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, docs["doc_id"] == found["__found"], "left_anti")
+def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that hold no item."""
+    for sent in _blocks(items, item_id, item_text):
+
+        def judge(sent=sent):
+            finder = Finder(sent.value, rate)
+            return lambda texts: [next(finder(normal(t)), None) is None for t in texts]
+
+        docs = where_texts(docs, "text", judge)
+    return docs

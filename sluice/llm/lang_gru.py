@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import only, pairs_of
+from sluice.llm.common import only, pairs_of, where_texts
 
 UND = "und"
 WIDTH = 64  # bytes a window
@@ -196,34 +196,53 @@ def _sample(docs: DataFrame, learnable: Column, per_lang: int) -> list[tuple[str
     return [(lang, bytes(w)) for lang, own in sorted(by.items()) for windows in own[:per_lang] for w in windows]
 
 
+def predict(net: Network | None, texts: list[str]) -> tuple[list[str], list[float]]:
+    """The language and score of each text."""
+    lang, score = [UND] * len(texts), [0.0] * len(texts)
+    if some := [k for k, t in enumerate(texts) if net is not None and any(map(str.isalpha, t))]:
+        p = probabilities(net, [texts[k].encode("utf-8", "replace") for k in some])
+        for k, best, s in zip(some, p.argmax(1), p.max(1)):
+            lang[k], score[k] = net.langs[best], min(1.0, float(s))
+    return lang, score
+
+
 def identify(docs: DataFrame, learnable: Column, per_lang: int = PER_LANG) -> DataFrame:
     """(doc_id, lang_pred, score) of each row; learned from the rows where `learnable` holds."""
     net = train(_sample(docs, learnable, per_lang))
 
     def label(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(ids: list, texts: list[bytes | None]) -> pa.RecordBatch:
-            lang, score = [UND] * len(ids), [0.0] * len(ids)
-            if some := [k for k, t in enumerate(texts) if t is not None]:
-                p = probabilities(net, [texts[k] for k in some])
-                for k, best, s in zip(some, p.argmax(1), p.max(1)):
-                    lang[k], score[k] = net.langs[best], min(1.0, float(s))
+        def out() -> pa.RecordBatch:
+            lang, score = predict(net, texts)
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
         ids, texts, held = [], [], 0
         for i, text in pairs_of(parts):
-            raw = text.encode("utf-8", "replace") if net is not None and any(map(str.isalpha, text)) else None
             ids.append(i)
-            texts.append(raw)
-            held += len(raw or b"")
+            texts.append(text)
+            held += len(text)
             if held >= BLOCK * WIDTH * 4 or len(ids) >= 8192:
-                yield out(ids, texts)
+                yield out()
                 ids, texts, held = [], [], 0
         if ids:
-            yield out(ids, texts)
+            yield out()
 
     return only(docs, "doc_id", "text").mapInArrow(label, "doc_id long, lang_pred string, score double")
 
 
+def identified(docs: DataFrame, learnable: Column, margin: float = 0.05) -> DataFrame:
+    """The rows of docs, all columns, whose language is known: not `und`, and likelier than a blind guess by the margin.
+
+    Where no row is labelled nothing can be learned, and all rows are rejected.
+    """
+    net = train(_sample(docs, learnable, PER_LANG))
+    least = min(0.99, 1 / len(net.langs) + margin) if net else 1.0
+
+    def judge():
+        return lambda texts: [lang != UND and score >= least for lang, score in zip(*predict(net, texts))]
+
+    return where_texts(docs, "text", judge)
+
+
 def remainder(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4: rows of remainder 2 are held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from sluice.llm.byte_shards import byte_shards
 from sluice.llm.cover_tree import top_k
 from sluice.llm.decontaminate import leaks
+from sluice.llm.html_text import extract
 from sluice.llm.lang_gru import identify, remainder
 from sluice.llm.packing import pack_documents
 from sluice.llm.pii_crf import find
 from sluice.llm.simhash import near_duplicates
+from sluice.llm.sql import ORACLE_SQL
 from sluice.llm.suffix_dedup import remove_repeats
 
 
@@ -27,6 +29,11 @@ def op1_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
 
 
+def op2_tag_ratio_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def vocabulary() -> str:
     """The public vocabulary file that packing counts with."""
     import public_tokenizers
@@ -77,6 +84,7 @@ def op10_edit_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cover_tree_topk": op1_cover_tree_topk,
+    "op2_tag_ratio_text": op2_tag_ratio_text,
     "op3_nnls_packing": op3_nnls_packing,
     "op4_pii_field": op4_pii_field,
     "op6_prefix_suffix_trees": op6_prefix_suffix_trees,
@@ -86,4 +94,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_edit_leaks": op10_edit_leaks,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

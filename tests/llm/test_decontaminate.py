@@ -58,5 +58,5 @@ def test_nulls_ties_long_texts_and_clashing_names(spark, monkeypatch):
     assert sorted(((r.doc_id, r.item_id, r.distance) for r in D.leaks(docs, items).collect()), key=str) == want
     monkeypatch.setattr(D, "BLOCK_CHARS", 50)
     assert sorted(((r.doc_id, r.item_id, r.distance) for r in D.leaks(docs, items).collect()), key=str) == want
-    assert sorted((r.doc_id for r in D.clean(docs, items).collect()), key=str) == sorted([2, 3, None, 5], key=str)
+    assert sorted(r.doc_id for r in D.clean(docs, items).collect()) == [2, 3, 5]
     assert D.leaks(docs.limit(0), items).count() == 0 and D.leaks(docs, items.limit(0)).count() == 0
