@@ -12,6 +12,7 @@ from sluice.llm.cover_tree import top_k
 from sluice.llm.decontaminate import leaks
 from sluice.llm.html_text import extract
 from sluice.llm.lang_gru import identify, remainder
+from sluice.llm.masked_lm import score
 from sluice.llm.packing import pack_documents
 from sluice.llm.pii_crf import find
 from sluice.llm.simhash import near_duplicates
@@ -51,6 +52,11 @@ def op4_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"))
 
 
+def op5_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's summed conditional log-probability under a model of all documents."""
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op6_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words without passages of 20 words that occur earlier."""
     kept = remove_repeats(table(spark, sf_dir, "documents"), window=20)
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_tag_ratio_text": op2_tag_ratio_text,
     "op3_nnls_packing": op3_nnls_packing,
     "op4_pii_field": op4_pii_field,
+    "op5_masked_likelihood": op5_masked_likelihood,
     "op6_prefix_suffix_trees": op6_prefix_suffix_trees,
     "op7_simhash_pigeonring": op7_simhash_pigeonring,
     "op8_language_gru": op8_language_gru,
