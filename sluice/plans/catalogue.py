@@ -1,10 +1,536 @@
-"""Ready-made queries, by name."""
+"""Ready-made queries over the sample tables, each beside its equivalent in DuckDB's SQL."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sluice import functions as fn
+from sluice import operators as op
+from sluice.plans.flow import barrier, query, task
+from sluice.plans.runner import Runner
+from sluice.plans.template import render
+from sluice.sources import database, export, from_file, from_rows
+from sluice.streaming import files, run_once, sessions, windowed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def ready(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder for what a query writes and reads again: in the cluster's shared one, or a temporary one without it."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
+    path = f"{shared.rstrip('/')}/sluice-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+# The activity reports
+
+
+def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as completed queries: time, account, and a user that for some starts with the account."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "ts AS time", "unix_seconds(CAST(ts AS timestamp)) AS t", "user_id AS account_id",
+        "CASE WHEN event_type IN ('view', 'click') THEN concat(user_id, '/', event_type) ELSE event_type END AS user",
+    )
+
+
+DAILY = """
+WITH a AS (
+  SELECT date_format(time, 'yyyy-MM-dd') AS day, CAST(usr AS BIGINT) AS usr, count(*) AS cnt
+  FROM (
+    SELECT time, coalesce(u, CAST(account_id AS STRING)) AS usr
+    FROM (SELECT time, account_id, nullif(regexp_extract(user, '([0-9]+)/.*', 1), '') AS u FROM {source} WHERE time >= {{start}} - INTERVAL '{{days}}' DAY) s2
+  ) s
+  WHERE usr IS NOT NULL
+  GROUP BY date_format(time, 'yyyy-MM-dd'), CAST(usr AS BIGINT)
+  ORDER BY day, usr LIMIT 10000
+)
+SELECT a.day, concat(a.usr, ':', coalesce(c.name, '')) AS who, a.cnt
+FROM a LEFT JOIN {accounts} c ON a.usr = c.account_id
+WHERE c.location = {{location}} OR c.location IS NULL
+"""
+
+
+@ready("""
+    WITH a AS (
+      SELECT strftime(ts, '%Y-%m-%d') AS day, user_id AS usr, count(*) AS cnt FROM events WHERE ts >= TIMESTAMP '2024-01-10'
+      GROUP BY 1, 2 ORDER BY day, usr LIMIT 10000),
+    c AS (SELECT c_custkey AS account_id, c_name AS name, c_mktsegment AS location FROM customer WHERE c_custkey % 3 <> 0)
+    SELECT a.day, a.usr || ':' || coalesce(c.name, '') AS who, a.cnt
+    FROM a LEFT JOIN c ON a.usr = c.account_id WHERE c.location = 'FURNITURE' OR c.location IS NULL
+""")
+def daily_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each account and day with the account's name, where its place is as given or not known."""
+    from datetime import datetime
+
+    accounts = table(spark, sf_dir, "customer").selectExpr("c_custkey AS account_id", "c_name AS name", "c_mktsegment AS location").where("account_id % 3 <> 0")
+    text = render(DAILY, {"start": datetime(2024, 1, 20), "days": 10, "location": "FURNITURE"})
+    return Runner(spark).run(query(text, name="daily", source=completions(spark, sf_dir), accounts=accounts))
+
+
+@ready("""
+    SELECT strftime(ts, '%H') AS hour, user_id AS usr, count(*) AS cnt FROM events WHERE ts >= TIMESTAMP '2024-01-14'
+    GROUP BY 1, 2 ORDER BY hour, usr LIMIT 20000
+""")
+def hourly_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each account by hour of the day: the first rows in order."""
+    rows = completions(spark, sf_dir).transform(op.between, "time", "2024-01-14")
+    usr = F.coalesce(fn.extract_or_null(F.col("user"), "([0-9]+)/.*"), F.col("account_id").cast("string")).try_cast("long")
+    counted = op.grouped(rows, [fn.time_format(F.col("t"), "HH").alias("hour"), usr.alias("usr")], cnt=F.count("*"))
+    return op.limit(op.ordered(counted, "hour", "usr"), 20000)
+
+
+@ready("""
+    SELECT strftime(ts, '%Y-%m-%d') AS date, user_id AS account_id, count(*) AS query_count FROM events
+    WHERE ts >= TIMESTAMP '2024-01-12 00:00:00' AND ts < TIMESTAMP '2024-01-13 00:00:00' GROUP BY 1, 2
+""")
+def scheduled_query_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each account in the day that follows the scheduled time."""
+    from datetime import datetime
+
+    from sluice.plans.schedule import SCHEDULED_TIME, days
+
+    text = "SELECT date_format(time, 'yyyy-MM-dd') AS date, account_id, count(*) AS query_count FROM {source} WHERE time >= :start AND time < :end GROUP BY ALL"
+    node = query(text, source=completions(spark, sf_dir), start=SCHEDULED_TIME, end=SCHEDULED_TIME + days(1))
+    return Runner(spark, params={"scheduled": datetime(2024, 1, 12)}).run(node)
+
+
+@ready("""
+    SELECT strftime(to_timestamp(epoch(ts)::BIGINT) AT TIME ZONE 'UTC' + INTERVAL 9 HOUR, '%Y-%m-%d %H') AS local_hour, count(*) AS n FROM events
+    WHERE floor(epoch(ts)) >= 1705276800 AND floor(epoch(ts)) < 1705276800 + 3 * 86400 GROUP BY 1
+""")
+def time_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session's SQL functions over unix times: range, sum with a duration, and text in a zone."""
+    fn.register(spark)
+    text = "SELECT time_format(t, 'yyyy-MM-dd HH', 'Asia/Tokyo') AS local_hour, count(*) AS n FROM {source} WHERE time_range(t, :start, time_add(:start, '3d')) GROUP BY ALL"
+    return Runner(spark).run(query(text, source=completions(spark, sf_dir), start=1705276800))
+
+
+# Projection and filters
+
+
+@ready("SELECT o_orderkey, o_totalprice FROM orders")
+def select_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.project(table(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice")
+
+
+@ready("SELECT * FROM nation")
+def select_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.all_columns(table(spark, sf_dir, "nation"))
+
+
+@ready("SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS customer, o_totalprice AS price FROM orders")
+def alias_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as rows of another type."""
+    return op.cast_as(table(spark, sf_dir, "orders"), "id long, customer string, price double", {"id": "o_orderkey", "customer": "o_custkey", "price": "o_totalprice"})
+
+
+@ready("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
+def filter_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").transform(op.filtered, F.col("o_orderstatus") == "F").transform(op.project, "o_orderkey", "o_orderstatus")
+
+
+@ready("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def filter_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.project(op.filtered(table(spark, sf_dir, "orders"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")), "o_orderkey", "o_orderpriority")
+
+
+@ready("""
+    SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem
+    WHERE l_quantity > 10 AND l_quantity >= 11 AND l_quantity < 21 AND l_quantity <= 20
+""")
+def filter_cmp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("l_quantity")
+    return op.project(op.filtered(table(spark, sf_dir, "lineitem"), (q > 10) & (q >= 11) & (q < 21) & (q <= 20)), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+
+
+@ready("SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-07'")
+def time_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A half-open range of time."""
+    return op.project(op.between(table(spark, sf_dir, "events"), "ts", "2024-01-05", "2024-01-07"), "event_id", "user_id")
+
+
+@ready("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-25'")
+def time_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of time without an end."""
+    return op.project(op.between(table(spark, sf_dir, "events"), "ts", "2024-01-25"), "event_id")
+
+
+@ready("""
+    SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 450000) o ON c_custkey = o_custkey
+    WHERE o_orderkey IS NULL OR (o_orderkey IS NOT NULL AND o_orderstatus = 'F')
+""")
+def null_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    large = table(spark, sf_dir, "orders").where("o_totalprice > 450000")
+    joined = table(spark, sf_dir, "customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return op.project(op.filtered(joined, F.col("o_orderkey").isNull() | (F.col("o_orderkey").isNotNull() & (F.col("o_orderstatus") == "F"))), "c_custkey", "o_orderkey")
+
+
+@ready("""SELECT event_id, nullif(regexp_extract(props, '"k": ([0-9]+)', 1), '') AS props FROM events""")
+def map_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column replaced by an expression over itself."""
+    events = op.project(table(spark, sf_dir, "events"), "event_id", "props")
+    return op.map_column(events, "props", """nullif(regexp_extract(?, '"k": ([0-9]+)', 1), '')""")
+
+
+@ready("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1")
+def select_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.limit(op.ordered(op.project(table(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice"), F.desc("o_totalprice"), "o_orderkey"), 1)
+
+
+@ready("""
+    SELECT o_orderkey, 'F' AS wanted FROM orders WHERE o_orderstatus = 'F' UNION ALL
+    SELECT o_orderkey, 'O' AS wanted FROM orders WHERE o_orderstatus = 'O'
+""")
+def param_loop_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame for each of several values, and all of them together."""
+    one = lambda df, s: df.where(F.col("o_orderstatus") == s).select("o_orderkey", F.lit(s).alias("wanted"))
+    return op.union_all(*op.for_each(table(spark, sf_dir, "orders"), ["F", "O"], one))
+
+
+@ready("""
+    SELECT usr, count(*) AS n FROM (SELECT coalesce(nullif(regexp_extract(u, '([0-9]+)/.*', 1), ''), 'none') AS usr FROM (
+        SELECT CASE WHEN event_type IN ('view', 'click') THEN user_id || '/' || event_type ELSE event_type END AS u FROM events)) GROUP BY usr
+""")
+def nested_subqueries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text functions in nested derived tables, as plain SQL over views."""
+    text = "SELECT usr, count(*) AS n FROM (SELECT coalesce(nullif(regexp_extract(user, '([0-9]+)/.*', 1), ''), 'none') AS usr FROM (SELECT user FROM {source}) a) b GROUP BY usr"
+    return Runner(spark).run(query(text, source=completions(spark, sf_dir)))
+
+
+# Aggregates
+
+
+@ready("SELECT count(*) AS n FROM lineitem")
+def row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.row_count(table(spark, sf_dir, "lineitem"))
+
+
+@ready("SELECT CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem")
+def scalar_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.total(table(spark, sf_dir, "lineitem"), "l_linenumber")
+
+
+@ready("SELECT min(l_quantity) AS lo, max(l_quantity) AS hi, round(avg(l_quantity), 6) AS mean, round(sum(l_quantity), 2) AS total, count(*) AS n FROM lineitem")
+def global_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("l_quantity")
+    return op.aggregate(table(spark, sf_dir, "lineitem"), lo=F.min(q), hi=F.max(q), mean=F.round(F.avg(q), 6), total=F.round(F.sum(q), 2), n=F.count("*"))
+
+
+@ready("""
+    SELECT l_returnflag, l_linestatus, min(l_quantity) AS lo, max(l_quantity) AS hi, round(avg(l_quantity), 6) AS mean,
+           round(sum(l_quantity), 2) AS total, count(*) AS n FROM lineitem GROUP BY ALL
+""")
+def group_min_max_avg_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("l_quantity")
+    return op.grouped(
+        table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], lo=F.min(q), hi=F.max(q), mean=F.round(F.avg(q), 6), total=F.round(F.sum(q), 2), n=F.count("*")
+    )
+
+
+@ready("""
+    WITH daily AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL)
+    SELECT event_type, round(avg(n), 6) AS mean, CAST(sum(n) AS BIGINT) AS total, max(n) AS most FROM daily GROUP BY event_type
+""")
+def two_stage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary of a summary: by day, then over the days."""
+    daily = op.grouped(table(spark, sf_dir, "events"), [F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type"], n=F.count("*"))
+    return op.grouped(daily, ["event_type"], mean=F.round(F.avg("n"), 6), total=F.sum("n"), most=F.max("n"))
+
+
+@ready("SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15' GROUP BY event_type")
+def weekly_from_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A week from seven days' partials in a partitioned table; a day that runs again replaces its partition."""
+    db = database(spark, f"sluice_{uuid.uuid4().hex[:12]}").create()
+    try:
+        events = table(spark, sf_dir, "events")
+        for day in [*range(8, 15), 9]:
+            one = op.between(events, "ts", f"2024-01-{day:02d}", f"2024-01-{day + 1:02d}")
+            db.insert_period("daily", op.grouped(one, ["event_type"], n=F.count("*")).withColumn("day", F.lit(f"2024-01-{day:02d}")), "day")
+        week = op.grouped(db.table("daily"), ["event_type"], n=F.sum("n"))
+        return from_rows(spark, week.collect(), week.schema)  # a row for each type of event
+    finally:
+        db.drop()
+
+
+# Joins and sets
+
+
+@ready("""
+    SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') o ON c_custkey = o_custkey
+    WHERE o_orderstatus = 'O' OR o_orderstatus IS NULL GROUP BY c_custkey
+""")
+def left_join_nullable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A left join that stays one under a condition which lets NULL pass."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    joined = table(spark, sf_dir, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return op.grouped(joined.where("o_orderstatus = 'O' OR o_orderstatus IS NULL"), ["c_custkey"], n=F.count("o_orderkey"))
+
+
+def _nation_keys(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, sf_dir, "customer").selectExpr("c_nationkey AS nation"), table(spark, sf_dir, "supplier").selectExpr("s_nationkey AS nation")
+
+
+@ready("SELECT c_nationkey AS nation FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+def union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.union_all(*_nation_keys(spark, sf_dir))
+
+
+@ready("SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier")
+def union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.union_distinct(*_nation_keys(spark, sf_dir))
+
+
+@ready("SELECT c_name AS name, c_mktsegment AS segment FROM customer UNION ALL BY NAME SELECT s_acctbal AS balance, s_name AS name FROM supplier")
+def merge_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").selectExpr("c_name AS name", "c_mktsegment AS segment")
+    return op.merge(customers, table(spark, sf_dir, "supplier").selectExpr("s_acctbal AS balance", "s_name AS name"))
+
+
+# Order and limits
+
+
+@ready("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 25")
+def order_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.limit(op.ordered(op.project(table(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey"), 25)
+
+
+@ready("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 10 OFFSET 7")
+def order_limit_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.limit(op.ordered(op.project(table(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey"), 10, 7)
+
+
+# Windows
+
+
+def _by_user(spark: SparkSession, sf_dir: str, *keys: str) -> op.Partitioned:
+    return op.partitioned(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"), *keys).order_by("ts", "event_id")
+
+
+@ready("SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
+def firsts_in_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.project(_by_user(spark, sf_dir, "user_id", "event_type").firsts(), "event_id", "user_id", "event_type")
+
+
+@ready("SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def lasts_in_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.project(_by_user(spark, sf_dir, "user_id", "event_type").lasts(), "event_id", "user_id", "event_type")
+
+
+@ready("""
+    SELECT event_id, first_value(value) OVER w AS head, nth_value(value, 3) OVER w AS third, last_value(value) OVER w AS tail FROM events
+    WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+""")
+def first_last_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _by_user(spark, sf_dir, "user_id")
+    return p.select("event_id", head=p.first("value"), third=p.nth("value", 3), tail=p.last("value"))
+
+
+@ready("""
+    SELECT event_id, lag(value, 2, -1.0) OVER w AS before, lead(value, 1) OVER w AS after FROM events
+    WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)
+""")
+def lag_lead_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _by_user(spark, sf_dir, "user_id", "event_type")
+    return p.select("event_id", before=p.lag("value", 2, -1.0), after=p.lead("value"))
+
+
+@ready("""
+    SELECT user_id, window_id, count(*) AS n, round(sum(value), 4) AS total FROM (
+        SELECT *, CAST((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 7 AS BIGINT) AS window_id FROM events) GROUP BY ALL
+""")
+def fixed_size_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of seven events of a user."""
+    return op.grouped(_by_user(spark, sf_dir, "user_id").fixed_size(7), ["user_id", "window_id"], n=F.count("*"), total=F.round(F.sum("value"), 4))
+
+
+@ready("""
+    SELECT strftime(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS starts, event_type, count(*) AS n, round(sum(value), 4) AS total
+    FROM events GROUP BY ALL
+""")
+def tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a day."""
+    out = op.tumbling(table(spark, sf_dir, "events"), "ts", "1 day", ["event_type"], n=F.count("*"), total=F.round(F.sum("value"), 4))
+    return op.project(out, F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("starts"), "event_type", "n", "total")
+
+
+@ready("""
+    SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS starts, count(*) AS n FROM (
+        SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 1 HOUR]) AS s FROM events)
+    GROUP BY ALL
+""")
+def sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of two hours, one each hour."""
+    out = op.sliding(table(spark, sf_dir, "events"), "ts", "2 hours", "1 hour", n=F.count("*"))
+    return op.project(out, F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("starts"), "n")
+
+
+@ready("""
+    WITH marked AS (
+        SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    numbered AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM marked)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS starts, count(*) AS n FROM numbered GROUP BY user_id, session
+""")
+def session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events less than half an hour apart."""
+    out = sessions(table(spark, sf_dir, "events"), "ts", "30 minutes", ["user_id"], n=F.count("*"))
+    return op.project(out, "user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("starts"), "n")
+
+
+@ready("""
+    SELECT strftime(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL
+""")
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a day over a stream that takes what is there and ends."""
+    name = f"sluice_{uuid.uuid4().hex[:12]}"
+    stream = files(spark, sf_dir, table(spark, sf_dir, "events").schema, pattern="events.parquet")
+    run_once(windowed(stream, "ts", "1 day", n=F.count("*"), total=F.sum("value")), name)
+    return op.project(spark.table(name), F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n", F.round("total", 4).alias("total"))
+
+
+# Sources, sinks and tasks
+
+
+@ready("SELECT * FROM (VALUES (1, 'leo'), (2, 'yui')) AS t(id, name)")
+def ddl_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workflow of statements: drop, create, two inserts, select, drop. The shared first nodes run once."""
+    db = database(spark, f"sluice_{uuid.uuid4().hex[:12]}").create()
+    clean = task(lambda: db.drop_table("t", if_present=True), name="clean")
+    made = task(lambda: db.create_table("t", "id integer, name string"), name="create").depends_on(clean)
+    # An insert that fails half-way must not be tried again, and two at once would share a folder for their files.
+    inserts = [task(lambda row=row: db.sql("INSERT INTO t VALUES (:id, :name)", id=row[0], name=row[1]), name=f"insert_{row[0]}").set(retry=0).depends_on(made) for row in [(1, "leo"), (2, "yui")]]
+    rows = task(lambda: db.sql("SELECT * FROM t ORDER BY id").collect(), name="rows").depends_on(barrier(*inserts))
+    try:
+        return from_rows(spark, Runner(spark).run(rows), "id integer, name string")
+    finally:
+        db.drop()
+
+
+@ready("SELECT o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_orderkey < 100")
+def insert_into(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame appended to a table by column name."""
+    db = database(spark, f"sluice_{uuid.uuid4().hex[:12]}").create()
+    try:
+        db.create_table("kept", "id long, price double")
+        out = db.insert("kept", table(spark, sf_dir, "orders").where("o_orderkey < 100").selectExpr("o_totalprice AS price", "o_orderkey AS id"))
+        return from_rows(spark, out.collect(), out.schema)  # at most 100 rows
+    finally:
+        db.drop()
+
+
+@ready("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_totalprice > 400000")
+def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame exported to files in two formats and read again."""
+    rows = op.project(table(spark, sf_dir, "orders").where("o_totalprice > 400000"), "o_orderkey", "o_custkey", "o_orderstatus")
+    at = scratch(spark)
+    export(rows, f"json://{at}/out.json")
+    again = from_file(spark, f"{at}/out.json", schema=rows.schema)
+    export(again, f"parquet://{at}/out.parquet?mode=overwrite")
+    return from_file(spark, f"{at}/out.parquet")
+
+
+@ready("SELECT * FROM (VALUES (1, 'a', 1.5), (2, 'b', NULL), (2, 'b', NULL)) AS t(id, name, x)")
+def rows_in_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_rows(spark, [(1, "a", 1.5), (2, "b", None), (2, "b", None)], "id int, name string, x double")
+
+
+@ready("SELECT 1 AS one")
+def scalar_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Runner(spark).run(query("SELECT 1 AS one"))
+
+
+@ready()
+def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of the tables of a namespace."""
+    db = database(spark, f"sluice_{uuid.uuid4().hex[:12]}").create()
+    try:
+        for name in ("nation", "region"):
+            table(spark, sf_dir, name).write.saveAsTable(f"{db.name}.{name}")
+        listed = [(name, c, kind) for name in db.tables() for c, kind, _ in db.schema(name).columns]
+        return from_rows(spark, listed, "table_name string, column_name string, type string")
+    finally:
+        db.drop()
+
+
+VIEWS = "time timestamp_ntz, js_id long, browser string, ip string, referrer string"
+
+
+def _views(events: DataFrame) -> DataFrame:
+    """Events as page views."""
+    return events.selectExpr(
+        "event_id", "date_trunc('HOUR', ts) AS time", "user_id AS js_id", "element_at(array('Chrome', 'Firefox', 'Safari', 'Edge'), CAST(event_id % 4 AS INT) + 1) AS td_browser",
+        "concat('10.', user_id % 4, '.', event_id % 256, '.1') AS td_ip", "concat('https://console.example.com/', event_type, '/x') AS td_referrer",
+    )
+
+
+COUNTRIES = [("10.0.0.0", "10.0.255.255", "Atlantis"), ("10.1.0.0", "10.1.127.255", "Laputa"), ("10.2.0.0", "10.3.63.255", "Utopia")]
+
+
+def _countries(spark: SparkSession) -> DataFrame:
+    ranges = from_rows(spark, COUNTRIES, "low string, high string, country string")
+    return ranges.select(fn.ip_number(F.col("low")).alias("first"), fn.ip_number(F.col("high")).alias("last"), "country")
+
+
+_DUCK_COUNTRY = """CASE WHEN user_id % 4 = 0 OR (user_id % 4 = 1 AND event_id % 256 < 128) THEN CASE user_id % 4 WHEN 0 THEN 'Atlantis' ELSE 'Laputa' END
+                        WHEN user_id % 4 = 2 OR (user_id % 4 = 3 AND event_id % 256 < 64) THEN 'Utopia' END"""
+
+
+@ready(f"""
+    WITH firsts AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY date_trunc('hour', ts), user_id ORDER BY event_id) = 1)
+    SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, user_id AS js_id, CASE event_id % 4 WHEN 0 THEN 'Chrome' ELSE 'Firefox' END AS browser,
+           {_DUCK_COUNTRY} AS country, event_type AS category
+    FROM firsts WHERE event_id % 4 < 2
+""")
+def page_view_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page views: typed, without doubles, of two browsers, with country and referrer's category, exported and read again."""
+    at = scratch(spark)
+    source = task(lambda: _views(table(spark, sf_dir, "events")), name="source")
+    firsts = task(lambda v: op.partitioned(v, "time", "js_id").order_by("event_id").firsts(), source, name="firsts")
+    renames = {"browser": "td_browser", "ip": "td_ip", "referrer": "td_referrer"}
+    typed = task(lambda v: op.cast_as(v, VIEWS, renames), firsts, name="typed")
+    chosen = task(lambda v: op.filtered(v, F.col("browser").isin("Chrome", "Firefox")), typed, name="chosen")
+    placed = task(lambda v: fn.ip_to_country(v, "ip", _countries(spark)), chosen, name="placed")
+    category = task(lambda v: op.map_column(v, "referrer", "nullif(regexp_extract(?, 'https://console.example.com/([a-z_]+)', 1), '')"), placed, name="category")
+    sent = task(lambda v: export(v, f"parquet://{at}/views.parquet"), category, name="sent")
+    back = task(lambda: from_file(spark, f"{at}/views.parquet"), name="back").depends_on(sent)
+    return op.project(Runner(spark).run(back), F.date_format("time", "yyyy-MM-dd HH").alias("hour"), "js_id", "browser", "country", category="referrer")
+
+
+@ready(f"SELECT event_id, {_DUCK_COUNTRY} AS country FROM events")
+def ip_to_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's country, from its address and a table of ranges; NULL for addresses in none."""
+    return op.project(fn.ip_to_country(_views(table(spark, sf_dir, "events")), "td_ip", _countries(spark)), "event_id", "country")
+
+
+@ready("""
+    SELECT * FROM (VALUES ('2001-02-03 04:05:06 UTC', '2001-02-03 04:05:06'), ('2001-02-03 04:05:06', '2001-02-03 04:05:06'), ('2001-02-03 04:05', '2001-02-03 04:05:00'),
+        ('2001-02-03 04', '2001-02-03 04:00:00'), ('2001-02-03', '2001-02-03 00:00:00'), ('2001-02-03T04:05:06.000+09:00', '2001-02-02 19:05:06'), ('no time', NULL)) AS t(text, instant)
+""")
+def parse_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instants from texts of several forms."""
+    texts = ["2001-02-03 04:05:06 UTC", "2001-02-03 04:05:06", "2001-02-03 04:05", "2001-02-03 04", "2001-02-03", "2001-02-03T04:05:06.000+09:00", "no time"]
+    rows = from_rows(spark, [(t,) for t in texts], "text string")
+    return op.project(rows, "text", instant=F.date_format(fn.parse_instant(F.col("text")), "yyyy-MM-dd HH:mm:ss"))
