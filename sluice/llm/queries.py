@@ -66,7 +66,7 @@ def op6_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and near-copy component."""
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, bits=4)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("sig")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:

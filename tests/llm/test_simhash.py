@@ -48,6 +48,7 @@ def test_whole_table_against_brute_force(spark, sf):
 def test_links_join_all_that_are_near(spark, bits, monkeypatch):
     """Clusters, chains and a dense ball, which passes through the paths for long runs."""
     monkeypatch.setattr(simhash, "SMALL", 8)
+    monkeypatch.setattr(simhash, "LARGE", 40)
     rng = np.random.default_rng(bits)
     fps = set()
     for _ in range(12):
@@ -59,7 +60,7 @@ def test_links_join_all_that_are_near(spark, bits, monkeypatch):
     ball = int(rng.integers(0, 1 << 63))
     fps |= {ball ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 63, (150, 2))}
     by_id = dict(enumerate(sorted(fps)))
-    reps = spark.createDataFrame([(f, i) for i, f in by_id.items()], "fp long, rep long")
+    reps = spark.createDataFrame([([f], i) for i, f in by_id.items()], "sig array<long>, rep long")
     found = {r.node: r.root for r in simhash.components(simhash.links(reps, bits)).collect()}
     assert {i: found.get(i, i) for i in by_id} == brute_components(by_id, bits)
 
@@ -76,6 +77,25 @@ def test_nulls_empties_ties_and_extra_columns(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_signatures_join_what_is_similar(spark):
+    """Pairs of a Jaccard similarity of 0.8 or more meet, unrelated texts never; the links are those of brute force."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 200 + 5 * k)]
+        changed = list(words)
+        for at in rng.choice(len(words), max(1, len(words) // 70), replace=False):
+            changed[at] = f"new{at}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changed))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=5, bits=7, prints=8, most=90).collect()}
+    sig = {i: simhash.signature(t, 5, 8) for i, t in rows}
+    apart = lambda a, b: [(x ^ y).bit_count() for x, y in zip(sig[a], sig[b])]
+    near = {(2 * k, 2 * k + 1) for k in range(60) if min(d := apart(2 * k, 2 * k + 1)) <= 7 and sum(d) <= 90}
+    assert {(c, i) for i, c in got.items() if c != i} == near and len(near) >= 57
+    assert simhash.deduplicate(docs).count() == 120 - len(near)
+
+
 def test_components_of_a_long_chain(spark):
     n = 400
     chain = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).repartition(7)
