@@ -22,8 +22,8 @@ def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles) the document of the smallest doc_id stays."""
-    return deduplicate(docs, shingle=5, bits=4)
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document of the smallest doc_id stays."""
+    return deduplicate(docs, shingle=5, bits=7, prints=8, most=90)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
