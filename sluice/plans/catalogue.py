@@ -78,7 +78,7 @@ WHERE c.location = {{location}} OR c.location IS NULL
     WITH a AS (
       SELECT strftime(ts, '%Y-%m-%d') AS day, user_id AS usr, count(*) AS cnt FROM events WHERE ts >= TIMESTAMP '2024-01-10'
       GROUP BY 1, 2 ORDER BY day, usr LIMIT 10000),
-    c AS (SELECT c_custkey AS account_id, c_name AS name, c_mktsegment AS location FROM customer WHERE c_custkey % 3 <> 0)
+    c AS (SELECT c_custkey AS account_id, c_name AS name, c_mktsegment AS location FROM customer WHERE c_acctbal > 3000)
     SELECT a.day, a.usr || ':' || coalesce(c.name, '') AS who, a.cnt
     FROM a LEFT JOIN c ON a.usr = c.account_id WHERE c.location = 'FURNITURE' OR c.location IS NULL
 """)
@@ -86,7 +86,7 @@ def daily_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each account and day with the account's name, where its place is as given or not known."""
     from datetime import datetime
 
-    accounts = table(spark, sf_dir, "customer").selectExpr("c_custkey AS account_id", "c_name AS name", "c_mktsegment AS location").where("account_id % 3 <> 0")
+    accounts = table(spark, sf_dir, "customer").where("c_acctbal > 3000").selectExpr("c_custkey AS account_id", "c_name AS name", "c_mktsegment AS location")
     text = render(DAILY, {"start": datetime(2024, 1, 20), "days": 10, "location": "FURNITURE"})
     return Runner(spark).run(query(text, name="daily", source=completions(spark, sf_dir), accounts=accounts))
 
@@ -429,22 +429,22 @@ def ddl_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
         db.drop()
 
 
-@ready("SELECT o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_orderkey < 100")
+@ready("SELECT o_orderkey AS id, o_totalprice AS price FROM orders")
 def insert_into(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A frame appended to a table by column name."""
-    db = database(spark, f"sluice_{uuid.uuid4().hex[:12]}").create()
+    """A frame appended to a table by column name; the table's files are read once it is dropped."""
+    db, at = database(spark, f"sluice_{uuid.uuid4().hex[:12]}").create(), scratch(spark)
     try:
-        db.create_table("kept", "id long, price double")
-        out = db.insert("kept", table(spark, sf_dir, "orders").where("o_orderkey < 100").selectExpr("o_totalprice AS price", "o_orderkey AS id"))
-        return from_rows(spark, out.collect(), out.schema)  # at most 100 rows
+        db.create_table("kept", "id long, price double", location=f"{at}/kept")
+        out = db.insert("kept", table(spark, sf_dir, "orders").selectExpr("o_totalprice AS price", "o_orderkey AS id"))
+        return from_file(spark, f"{at}/kept", schema=out.schema, form="parquet")
     finally:
         db.drop()
 
 
-@ready("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_totalprice > 400000")
+@ready("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
 def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A frame exported to files in two formats and read again."""
-    rows = op.project(table(spark, sf_dir, "orders").where("o_totalprice > 400000"), "o_orderkey", "o_custkey", "o_orderstatus")
+    rows = op.project(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey", "o_orderstatus")
     at = scratch(spark)
     export(rows, f"json://{at}/out.json")
     again = from_file(spark, f"{at}/out.json", schema=rows.schema)

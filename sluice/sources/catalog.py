@@ -66,11 +66,11 @@ class Database:
         finally:
             self.spark.catalog.setCurrentDatabase(before)
 
-    def create_table(self, name: str, columns: str | StructType, if_absent: bool = False, form: str = "parquet") -> DataFrame:
-        """CREATE TABLE; fails if the table is there, unless if_absent."""
+    def create_table(self, name: str, columns: str | StructType, if_absent: bool = False, form: str = "parquet", location: str | None = None) -> DataFrame:
+        """CREATE TABLE; fails if the table is there, unless if_absent. Files at a location of their own outlive the table."""
         fields = StructType.fromDDL(columns) if isinstance(columns, str) else columns
         listed = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in fields)
-        self.spark.sql(f"CREATE TABLE {'IF NOT EXISTS ' if if_absent else ''}{quoted(self.name, name)} ({listed}) USING {form}")
+        self.spark.sql(f"CREATE TABLE {'IF NOT EXISTS ' if if_absent else ''}{quoted(self.name, name)} ({listed}) USING {form}" + (f" LOCATION '{location}'" if location else ""))
         return self.table(name)
 
     def drop_table(self, name: str, if_present: bool = False) -> None:
