@@ -33,8 +33,53 @@ def keep(df: DataFrame, name: str = "kept") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Texts can be long, so few rows cross to Python at a time.
+BATCH_ROWS = 2048
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Bounds the rows of an Arrow batch for this session, where they aren't bounded lower already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+class Recent(dict):
+    """What make() gives for keys, kept for those used lately: two generations of `size` keys at most.
+
+    When the younger is full it becomes the older; keys that are used again move back. So common
+    keys stay, and memory is bounded.
+    """
+
+    def __init__(self, make: Callable, size: int):
+        super().__init__()
+        self.make, self.size, self.older = make, size, {}
+
+    def __missing__(self, key):
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
+_WORKER: dict = {}
+
+
+def for_worker(key: tuple, make: Callable):
+    """One object that a Python worker keeps from task to task; another key's takes its place."""
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = make()
+    return _WORKER[key]
+
+
 def only(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator needs, under fixed names; any others, whatever their names, are left behind."""
+    short_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
@@ -62,6 +107,7 @@ def pairs_of(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, str]
 
 def where_texts(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
     """The rows of docs, all columns, whose text passes; judge() makes, once a task, what judges texts (null: empty)."""
+    short_batches(docs.sparkSession)
     at, schema = docs.columns.index(text_col), docs.schema
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import batches, keep, only, pairs_of
+from sluice.llm.common import Recent, batches, keep, only, pairs_of
 
 VOCABULARY, OWN, ENDINGS = 1024, 32, 32  # words with a code; of these, with a class; classes by ending
 PLACES = (-2, -1, 1, 2)
@@ -54,17 +54,9 @@ class Words:
     inside: np.ndarray
 
 
-class Codes(dict):
+def codes_of(words: Words) -> Recent:
     """The code of each word; words without one share that of their ending."""
-
-    def __init__(self, words: Words):
-        super().__init__(words.code)
-
-    def __missing__(self, word: bytes) -> int:
-        got = VOCABULARY + ending(word)
-        if len(self) < 500_000:
-            self[word] = got
-        return got
+    return Recent(lambda word: words.code.get(word, VOCABULARY + ending(word)), 150_000)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -171,7 +163,7 @@ class Trainer:
 
 def coded(parts: Iterable[pa.RecordBatch], words: Words) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(ids, codes, sizes) of groups of documents: codes of all words, two PAD before each document and behind the last."""
-    codes = Codes(words)
+    codes = codes_of(words)
     ids, texts, count = [], [], 0
 
     def group() -> tuple[list, np.ndarray, np.ndarray]:

@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from sluice.llm.common import batches, only, pairs_of
+from sluice.llm.common import Recent, batches, for_worker, only, pairs_of
 
 WINDOW = 4096
 END = 2
 BINS, DEPTH = 64, 3
 BUFFER = 4_000_000  # ids that a task holds
-WORDS = 1_000_000  # words whose ids a worker keeps
+WORDS, STEMS = 60_000, 400_000  # words, and the stems of words, of each generation whose ids a worker keeps
 OUT = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
 
 
@@ -42,7 +42,7 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in plain)}
 
 
-class WordIds(dict):
+class WordIds:
     """The ids of each word of a lower-case byte string, as little-endian unsigned 32-bit integers.
 
     The vocabulary drops white space and splits before and after it, so words can be encoded one by
@@ -57,39 +57,23 @@ class WordIds(dict):
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
-        self.model, self.letters, self.parts = self.whole.model, _byte_letters(), {}
-
-    def part(self, text: str, letters: bool) -> bytes:
-        got = self.parts.get(text)
-        if got is None:
-            if letters:
-                ids = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
-            else:
-                ids = self.whole.encode(text, add_special_tokens=False).ids
-            if len(self.parts) >= WORDS:
-                self.parts.clear()
-            got = self.parts[text] = np.array(ids, "<u4").tobytes()
-        return got
-
-    def __missing__(self, word: bytes) -> bytes:
+        self.model, self.letters = self.whole.model, _byte_letters()
+        self.words, self.stems, self.tails = Recent(self.word, WORDS), Recent(self.stem, STEMS), Recent(self.other, 10_000)
+
+    def stem(self, text: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+
+    def other(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         if m := self.PLAIN.fullmatch(text):
-            got = self.part(m[1], True) + (self.part(m[2], False) if m[2] else b"")
-        else:
-            got = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= WORDS:
-            self.clear()
-        self[word] = got
-        return got
+            return self.stems[m[1]] + (self.tails[m[2]] if m[2] else b"")
+        return self.other(text)
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").lower().split()))
-
-
-@cache
-def words_of(path: str) -> WordIds:
-    """One for each Python worker, which keeps it over tasks."""
-    return WordIds(path)
+        return b"".join(map(self.words.__getitem__, text.encode("utf-8", "replace").lower().split()))
 
 
 def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -228,7 +212,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     cut = lambda p, n: ((*p[:4], n), (p[0], p[1] + n, p[2], p[3], p[4] - n))
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(tokenizer)
+        words = for_worker(("ids", tokenizer), lambda: WordIds(tokenizer))
         sequence = (TaskContext.get().partitionId() << 36) - 1
 
         def rows_of(row: list) -> Iterator[tuple]:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sluice.llm.common import batches, only, pairs_of
+from sluice.llm.common import Recent, batches, for_worker, only, pairs_of, short_batches
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind's place, end
@@ -168,14 +168,9 @@ _PLACE = {s: k for k, s in enumerate(SHAPES)}
 NO_WORD = len(SHAPES)  # before the first and behind the last
 
 
-class ShapeOf(dict):
-    """The place of a word's shape, kept for the words seen last."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        got = self[word] = _PLACE[shape(word)]
-        return got
+def shape_places() -> Recent:
+    """The place of each word's shape."""
+    return Recent(lambda word: _PLACE[shape(word)], 150_000)
 
 
 def features(x: np.ndarray) -> np.ndarray:
@@ -338,7 +333,7 @@ def added_spans(text: str, marked: list[tuple[int, int]], base: list[Span]) -> l
     return out
 
 
-def text_spans(field: Field, texts: list[str], shapes: ShapeOf) -> list[tuple[list[Span], list[Span]]]:
+def text_spans(field: Field, texts: list[str], shapes: Recent) -> list[tuple[list[Span], list[Span]]]:
     """(base, all) spans of each text."""
     marks: list[list[tuple[int, int]]] = [[] for _ in texts]
     held: list[tuple[int, int, bytes]] = []
@@ -376,9 +371,6 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-_SHAPES = ShapeOf()
-
-
 def _groups(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     ids, texts, held = [], [], 0
     for i, text in pairs_of(parts):
@@ -400,7 +392,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for ids, texts in _groups(parts):
-                for i, (base, every) in zip(ids, text_spans(field, texts, _SHAPES)):
+                for i, (base, every) in zip(ids, text_spans(field, texts, for_worker(("shapes",), shape_places))):
                     counts = (sum(s[1] == k for s in base) for k in range(len(KINDS)))
                     yield i, *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)
 
@@ -421,6 +413,7 @@ def masked(text: str, spans: list[Span]) -> str:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs, all columns, with personal data in text_col masked; null texts stay null."""
+    short_batches(docs.sparkSession)
     field, at, schema = train(), docs.columns.index(text_col), docs.schema
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,7 +421,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for start in range(0, part.num_rows, 2048):
                 piece = part.slice(start, 2048)
                 texts = piece.column(at).to_pylist()
-                found = text_spans(field, [t or "" for t in texts], _SHAPES)
+                found = text_spans(field, [t or "" for t in texts], for_worker(("shapes",), shape_places))
                 new = [t if t is None or not every else masked(t, every) for t, (_, every) in zip(texts, found)]
                 yield pa.RecordBatch.from_arrays([pa.array(new, piece.schema.field(at).type) if k == at else c for k, c in enumerate(piece.columns)], schema=piece.schema)
 

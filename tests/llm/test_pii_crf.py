@@ -88,14 +88,14 @@ FIELD = P.train()
     ],
 )
 def test_field_adds_spans(text, want):
-    base, every = P.text_spans(FIELD, [text], P.ShapeOf())[0]
+    base, every = P.text_spans(FIELD, [text], P.shape_places())[0]
     assert P.joined(every).split(",") == (want or [""]) and set(base) <= set(every)
 
 
 def test_run_cuts_lose_no_span():
     for n in range(40, 80):
         text = "word " * n + "(212) 555-0187 " + "word " * 200
-        assert P.joined(P.text_spans(FIELD, [text], P.ShapeOf())[0][1]) == f"phone:{5 * n}:{5 * n + 14}"
+        assert P.joined(P.text_spans(FIELD, [text], P.shape_places())[0][1]) == f"phone:{5 * n}:{5 * n + 14}"
 
 
 def test_nulls_ties_long_texts_and_clashing_names(spark):

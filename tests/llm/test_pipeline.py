@@ -41,7 +41,7 @@ def test_stages_against_brute_force(spark):
         else:
             assert set(after) == set(before)
             for i, r in before.items():
-                base, every = P.text_spans(field, [r.text or ""], P.ShapeOf())[0]
+                base, every = P.text_spans(field, [r.text or ""], P.shape_places())[0]
                 assert after[i].text == P.masked(r.text, every) and after[i].n_chars == len(after[i].text)
                 assert not P.base_spans(after[i].text)
         before = after
