@@ -34,6 +34,7 @@ from sluice.llm.common import components, keep, only, pairs_of
 
 SEED = 42
 SMALL = 48  # runs up to this length are compared pair by pair
+CHUNK, ROWS = 32_768, 300_000  # rows that are searched at once, and copies of them by the bits left out
 LARGE = 8192  # runs up to this length are not cut by a third segment
 
 
@@ -108,7 +109,11 @@ def _near(x: np.ndarray, start: int, bits: int, ring: list[tuple[int, int]]) ->
 
 def _ball(f: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """Positions of links that join all of f that can be joined: each point is compared with those not reached yet."""
-    left, links = np.arange(len(f)), []
+    alone = np.ones(len(f), bool)
+    for at in range(0, len(f), 1024):
+        near = np.bitwise_count(f[at : at + 1024, None] ^ f[None, :]) <= bits
+        alone[at : at + 1024] = near.sum(1) < 2
+    left, links = np.flatnonzero(~alone), []
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
@@ -122,28 +127,65 @@ def _ball(f: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return links
 
 
+def _tree(pairs: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Of links and their distances, the nearest that still join something: as many as nodes at most, each a true link."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    order, kept = np.lexsort((pairs[:, 1], pairs[:, 0], apart)), []
+    for k, a, b in zip(order.tolist(), *pairs[order].T.tolist()):
+        a, b = root(a), root(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            kept.append(k)
+    return pairs[kept]
+
+
 def _by_runs(key: np.ndarray, f: np.ndarray, n: np.ndarray, start: np.ndarray, bits: int, ring, deeper) -> Iterator[np.ndarray]:
     """Links within runs of equal keys: small ones pair by pair, lag by lag; others are handed on."""
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     size = np.diff(edge)
-    run = np.repeat(np.arange(len(size)), size)
-    few = (size[run] > 1) & (size[run] <= SMALL)
-    kf, ff, nf, sf = run[few], f[few], n[few], start[few]
+    few = np.repeat((size > 1) & (size <= SMALL), size)
+    kf, ff, nf, sf = key[few], f[few], n[few], start[few]
+    at = np.arange(len(kf))
     for lag in range(1, SMALL):
-        if len(kf) <= lag or not (same := kf[lag:] == kf[:-lag]).any():
+        at = at[at + lag < len(kf)]
+        at = at[kf[at + lag] == kf[at]]  # in order of keys, a lag can match only where the one before did
+        if not len(at):
             break
-        at = np.flatnonzero(same)
-        x = ff[at + lag] ^ ff[at]
-        for s in np.unique(sf[at]):
-            mine = at[sf[at] == s]
-            good = mine[_near(x[sf[at] == s], int(s), bits, ring)]
+        x, of = ff[at + lag] ^ ff[at], sf[at]
+        for s in np.unique(of):
+            mine = at[of == s]
+            good = mine[_near(x[of == s], int(s), bits, ring)]
             if len(good):
-                yield np.stack([nf[good], nf[good + lag]], 1)
+                yield np.stack([nf[good], nf[good + lag], np.bitwise_count(ff[good] ^ ff[good + lag])], 1)
     for r in np.flatnonzero(size > SMALL):
         a, b = edge[r], edge[r + 1]
         yield from deeper(f[a:b], n[a:b], int(start[a]))
 
 
+def _cut(run: np.ndarray, f: np.ndarray, n: np.ndarray, start: np.ndarray, level: int, bits: int, ring, deeper) -> Iterator[np.ndarray]:
+    """Cuts runs by the chain's next segment but for `level` bits, every choice of bits in turn, and goes on with the parts."""
+    nxt = (start + level) % len(ring)
+    shift, width = (np.array([x[k] for x in ring], np.uint64)[nxt] for k in (0, 1))
+    seg = (f >> shift) & ((np.uint64(1) << width) - np.uint64(1))
+    most = max(x[1] for x in ring)
+    choices = list(combinations(range(most), min(level, most)))
+    step = max(1, ROWS // max(1, len(f)))
+    for k in range(0, len(choices), step):
+        some = choices[k : k + step]
+        clear = np.array([sum(1 << j for j in out) for out in some], np.uint64)
+        key = ((run[None, :] * len(some) + np.arange(len(some))[:, None]).astype(np.uint64) << np.uint64(most) | seg[None, :] & ~clear[:, None]).ravel()
+        order = np.argsort(key, kind="stable")
+        row = order % len(f)
+        yield from _by_runs(key[order], f[row], n[row], start[row], bits, ring, deeper)
+
+
 def links(reps: DataFrame, bits: int = 4, prints: int = 1) -> DataFrame:
     """(a long, b long): links between signatures of which some fingerprint is near, enough to join all that are linked.
 
@@ -163,46 +205,44 @@ def links(reps: DataFrame, bits: int = 4, prints: int = 1) -> DataFrame:
                     key = (seg.astype(np.int64) * len(ring) + k) * prints + p
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(f), part.column(1)], names=["key", "fp", "rep"])
 
-    def deeper(level: int):
-        """Cuts a long run further: by the chain's next segment but for `level` bits, every choice of bits in turn."""
-
-        def cut(f: np.ndarray, n: np.ndarray, s: int) -> Iterator[np.ndarray]:
-            if level == 2 and len(f) <= LARGE or level == 3 or level == len(ring):
-                order = np.argsort(_mix(f + np.uint64(s)))  # each key links a ball around another centre
-                if found := _ball(f[order], bits):
-                    yield n[order[np.array(found)]]
-                return
-            shift, width = ring[(s + level) % len(ring)]
-            seg = (f >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-            for out in combinations(range(width), min(level, width)):
-                sub = seg & ~np.uint64(sum(1 << j for j in out))
-                order = np.argsort(sub, kind="stable")
-                yield from _by_runs(sub[order], f[order], n[order], np.full(len(f), s), bits, ring, deeper(level + 1))
+    def large(f: np.ndarray, n: np.ndarray, s: int) -> Iterator[np.ndarray]:
+        """A run that is long after its second segment: by the third, if it is very long, and then as a ball."""
+        if len(f) > LARGE and len(ring) > 2:
+            yield from _cut(np.zeros(len(f), np.int64), f, n, np.full(len(f), s), 2, bits, ring, dense)
+        else:
+            yield from dense(f, n, s)
 
-        return cut
+    def dense(f: np.ndarray, n: np.ndarray, s: int) -> Iterator[np.ndarray]:
+        order = np.argsort(n)  # so that keys which hold the same ball link it alike
+        if found := _ball(f[order], bits):
+            a, b = order[np.array(found)].T
+            yield np.stack([n[a], n[b], np.bitwise_count(f[a] ^ f[b])], 1)
 
     def search(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key; the last run of a batch waits for the next batch."""
-        held: list[list[np.ndarray]] = []
+        """Rows come sorted by key; they are searched CHUNK or more at a time, whole runs only."""
 
         def found(key, f, n) -> Iterator[pa.RecordBatch]:
-            out = list(_by_runs(key, f.view(np.uint64), n, key // prints % len(ring), bits, ring, deeper(1)))
+            new = np.concatenate(([True], key[1:] != key[:-1]))
+            single = new & np.concatenate((new[1:], [True]))
+            run = np.cumsum(new)[~single]
+            start = (key // prints % len(ring))[~single]
+            out = list(_cut(run, f.view(np.uint64)[~single], n[~single], start, 1, bits, ring, large)) if len(run) else []
             if out:
-                pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+                every = np.concatenate(out)
+                pairs = _tree(np.sort(every[:, :2], axis=1), every[:, 2])
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
+        held: list[list[np.ndarray]] = []
+        limit = CHUNK
         for part in parts:
-            now = [c.to_numpy(zero_copy_only=False) for c in part.columns]
-            if not len(now[0]):
-                continue
-            if held and held[-1][0][-1] == now[0][-1]:  # one run goes on through the whole batch
-                held.append(now)
-                continue
-            cut = int(np.searchsorted(now[0], now[0][-1]))
-            done = [np.concatenate(c) for c in zip(*held, [c[:cut] for c in now])]
-            held = [[c[cut:] for c in now]]
-            if len(done[0]):
-                yield from found(*done)
+            held.append([c.to_numpy(zero_copy_only=False) for c in part.columns])
+            if sum(len(h[0]) for h in held) >= limit:
+                now = [np.concatenate(c) for c in zip(*held)]
+                cut = int(np.searchsorted(now[0], now[0][-1]))
+                if cut:
+                    yield from found(*(c[:cut] for c in now))
+                held = [[c[cut:] for c in now]]
+                limit = max(CHUNK, 2 * len(held[0][0]))
         if held:
             yield from found(*(np.concatenate(c) for c in zip(*held)))
 
