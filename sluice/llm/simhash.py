@@ -12,7 +12,8 @@ only as far as they join something: a dense ball of n fingerprints gives n - 1 l
 One fingerprint of 64 bits is near only for texts that are nearly equal. To find texts of a lower
 similarity, a signature of several fingerprints can be taken, each from another mix of the same
 shingle hashes: texts are candidates if any one pair of fingerprints is near, and are linked if the
-whole signatures differ in at most `most` bits.
+whole signatures differ in at most `most` bits. The whole is compared before links are thinned, so
+that a candidate which fails can't take the place of a link.
 
 Defined results: a null text is empty, and an empty text (no word) has fingerprint 0, which links
 like any other; fewer words than a shingle are one shingle; repeated rows get the same component;
@@ -21,7 +22,7 @@ a null doc_id is kept and takes no part in naming a component. An empty table gi
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -107,7 +108,11 @@ def _near(x: np.ndarray, start: int, bits: int, ring: list[tuple[int, int]]) ->
     return ok
 
 
-def _ball(f: np.ndarray, bits: int) -> list[tuple[int, int]]:
+#: Which pairs of rows are links, after one fingerprint was found near.
+Passes = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _ball(f: np.ndarray, bits: int, passes: Passes) -> list[tuple[int, int]]:
     """Positions of links that join all of f that can be joined: each point is compared with those not reached yet."""
     alone = np.ones(len(f), bool)
     for at in range(0, len(f), 1024):
@@ -119,6 +124,7 @@ def _ball(f: np.ndarray, bits: int) -> list[tuple[int, int]]:
         while queue and len(left):
             p = queue.pop()
             near = np.bitwise_count(f[left] ^ f[p]) <= bits
+            near[near] = passes(np.full(near.sum(), p), left[near])
             if near.any():
                 reached = left[near]
                 links += [(p, q) for q in reached]
@@ -146,7 +152,7 @@ def _tree(pairs: np.ndarray, apart: np.ndarray) -> np.ndarray:
     return pairs[kept]
 
 
-def _by_runs(key: np.ndarray, f: np.ndarray, n: np.ndarray, start: np.ndarray, bits: int, ring, deeper) -> Iterator[np.ndarray]:
+def _by_runs(key: np.ndarray, f: np.ndarray, n: np.ndarray, start: np.ndarray, bits: int, ring, deeper, passes: Passes) -> Iterator[np.ndarray]:
     """Links within runs of equal keys: small ones pair by pair, lag by lag; others are handed on."""
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     size = np.diff(edge)
@@ -162,6 +168,7 @@ def _by_runs(key: np.ndarray, f: np.ndarray, n: np.ndarray, start: np.ndarray, b
         for s in np.unique(of):
             mine = at[of == s]
             good = mine[_near(x[of == s], int(s), bits, ring)]
+            good = good[passes(nf[good], nf[good + lag])]
             if len(good):
                 yield np.stack([nf[good], nf[good + lag], np.bitwise_count(ff[good] ^ ff[good + lag])], 1)
     for r in np.flatnonzero(size > SMALL):
@@ -169,7 +176,7 @@ def _by_runs(key: np.ndarray, f: np.ndarray, n: np.ndarray, start: np.ndarray, b
         yield from deeper(f[a:b], n[a:b], int(start[a]))
 
 
-def _cut(run: np.ndarray, f: np.ndarray, n: np.ndarray, start: np.ndarray, level: int, bits: int, ring, deeper) -> Iterator[np.ndarray]:
+def _cut(run: np.ndarray, f: np.ndarray, n: np.ndarray, start: np.ndarray, level: int, bits: int, ring, deeper, passes: Passes) -> Iterator[np.ndarray]:
     """Cuts runs by the chain's next segment but for `level` bits, every choice of bits in turn, and goes on with the parts."""
     nxt = (start + level) % len(ring)
     shift, width = (np.array([x[k] for x in ring], np.uint64)[nxt] for k in (0, 1))
@@ -183,17 +190,20 @@ def _cut(run: np.ndarray, f: np.ndarray, n: np.ndarray, start: np.ndarray, level
         key = ((run[None, :] * len(some) + np.arange(len(some))[:, None]).astype(np.uint64) << np.uint64(most) | seg[None, :] & ~clear[:, None]).ravel()
         order = np.argsort(key, kind="stable")
         row = order % len(f)
-        yield from _by_runs(key[order], f[row], n[row], start[row], bits, ring, deeper)
+        yield from _by_runs(key[order], f[row], n[row], start[row], bits, ring, deeper, passes)
 
 
-def links(reps: DataFrame, bits: int = 4, prints: int = 1) -> DataFrame:
+def links(reps: DataFrame, bits: int = 4, prints: int = 1, most: int | None = None) -> DataFrame:
     """(a long, b long): links between signatures of which some fingerprint is near, enough to join all that are linked.
 
-    reps: (sig array<long>, rep long), a row for each signature; links name the rep.
+    reps: (sig array<long>, rep long), a row for each signature; links name the rep. With `most`, a
+    row that is dealt carries the whole signature, of which so many bits may differ.
     """
     if not 0 < bits < 16:
         raise ValueError("bits must be between 1 and 15")
     ring = segments(bits)
+    names = ["key", "fp", "rep"] + ["sig"] * (most is not None)
+    ddl = "key long, fp long, rep long" + ", sig array<long>" * (most is not None)
 
     def deal(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -203,39 +213,47 @@ def links(reps: DataFrame, bits: int = 4, prints: int = 1) -> DataFrame:
                 for k, (shift, width) in enumerate(ring):
                     seg = (f.view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << width) - 1)
                     key = (seg.astype(np.int64) * len(ring) + k) * prints + p
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(f), part.column(1)], names=["key", "fp", "rep"])
-
-    def large(f: np.ndarray, n: np.ndarray, s: int) -> Iterator[np.ndarray]:
-        """A run that is long after its second segment: by the third, if it is very long, and then as a ball."""
-        if len(f) > LARGE and len(ring) > 2:
-            yield from _cut(np.zeros(len(f), np.int64), f, n, np.full(len(f), s), 2, bits, ring, dense)
-        else:
-            yield from dense(f, n, s)
-
-    def dense(f: np.ndarray, n: np.ndarray, s: int) -> Iterator[np.ndarray]:
-        order = np.argsort(n)  # so that keys which hold the same ball link it alike
-        if found := _ball(f[order], bits):
-            a, b = order[np.array(found)].T
-            yield np.stack([n[a], n[b], np.bitwise_count(f[a] ^ f[b])], 1)
+                    columns = [pa.array(key), pa.array(f), part.column(1), part.column(0)]
+                    yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
 
     def search(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key; they are searched CHUNK or more at a time, whole runs only."""
 
-        def found(key, f, n) -> Iterator[pa.RecordBatch]:
+        def found(key, f, n, sig=None) -> Iterator[pa.RecordBatch]:
+            """Rows are named by their places until the links are thinned."""
+
+            def passes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                return np.ones(len(x), bool) if sig is None else np.bitwise_count(sig[x] ^ sig[y]).sum(1, dtype=np.int64) <= most
+
+            def large(f: np.ndarray, at: np.ndarray, s: int) -> Iterator[np.ndarray]:
+                """A run that is long after its second segment: by the third, if it is very long, and then as a ball."""
+                if len(f) > LARGE and len(ring) > 2:
+                    yield from _cut(np.zeros(len(f), np.int64), f, at, np.full(len(f), s), 2, bits, ring, dense, passes)
+                else:
+                    yield from dense(f, at, s)
+
+            def dense(f: np.ndarray, at: np.ndarray, s: int) -> Iterator[np.ndarray]:
+                order = np.argsort(n[at])  # so that keys which hold the same ball link it alike
+                if pairs := _ball(f[order], bits, lambda x, y: passes(at[order[x]], at[order[y]])):
+                    a, b = order[np.array(pairs)].T
+                    yield np.stack([at[a], at[b], np.bitwise_count(f[a] ^ f[b])], 1)
+
             new = np.concatenate(([True], key[1:] != key[:-1]))
-            single = new & np.concatenate((new[1:], [True]))
-            run = np.cumsum(new)[~single]
-            start = (key // prints % len(ring))[~single]
-            out = list(_cut(run, f.view(np.uint64)[~single], n[~single], start, 1, bits, ring, large)) if len(run) else []
+            several = np.flatnonzero(~(new & np.concatenate((new[1:], [True]))))
+            run = np.cumsum(new)[several]
+            start = (key // prints % len(ring))[several]
+            out = list(_cut(run, f.view(np.uint64)[several], several, start, 1, bits, ring, large, passes)) if len(run) else []
             if out:
                 every = np.concatenate(out)
-                pairs = _tree(np.sort(every[:, :2], axis=1), every[:, 2])
+                pairs = _tree(np.sort(n[every[:, :2].astype(np.int64)], axis=1), every[:, 2])
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         held: list[list[np.ndarray]] = []
         limit = CHUNK
         for part in parts:
-            held.append([c.to_numpy(zero_copy_only=False) for c in part.columns])
+            held.append([c.to_numpy(zero_copy_only=False) for c in part.columns[:3]])
+            if most is not None:
+                held[-1].append(part.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, prints))
             if sum(len(h[0]) for h in held) >= limit:
                 now = [np.concatenate(c) for c in zip(*held)]
                 cut = int(np.searchsorted(now[0], now[0][-1]))
@@ -246,7 +264,7 @@ def links(reps: DataFrame, bits: int = 4, prints: int = 1) -> DataFrame:
         if held:
             yield from found(*(np.concatenate(c) for c in zip(*held)))
 
-    dealt = reps.where("rep is not null").select("sig", "rep").mapInArrow(deal, "key long, fp long, rep long")
+    dealt = reps.where("rep is not null").select("sig", "rep").mapInArrow(deal, ddl)
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long")
 
 
@@ -259,12 +277,7 @@ def near_duplicates(
     """
     of = keep(signatures(docs, id_col, text_col, shingle, prints), "signatures")
     reps = keep(of.groupBy("sig").agg(F.min("doc_id").alias("rep")), "reps")
-    near = links(reps, bits, prints)
-    if most is not None:
-        a, b = (reps.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-        apart = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-        near = near.distinct().join(a, "a").join(b, "b").where(apart <= most).select("a", "b")
-    found = components(near)
+    found = components(links(reps, bits, prints, most))
     named = reps.join(found, reps["rep"] == found["node"], "left").select("sig", F.coalesce("root", "rep").alias("component_id"))
     return of.join(named, "sig").select("doc_id", "sig", "component_id")
 

@@ -96,6 +96,30 @@ def test_signatures_join_what_is_similar(spark):
     assert simhash.deduplicate(docs).count() == 120 - len(near)
 
 
+@pytest.mark.parametrize("small", [48, 2])
+def test_large_graded_group_against_all_pairs(spark, monkeypatch, small):
+    """Candidates that fail as a whole are nearer in some print than links are, and must not take their place."""
+    monkeypatch.setattr(simhash, "SMALL", small)
+    rng = np.random.default_rng(4)
+    base, sigs = rng.integers(0, 2, (8, 64)), []
+    for k in range(240):
+        some = base.copy()
+        for p in range(8):
+            some[p, rng.choice(64, 1 + (p * 5 + k) % 8 + k % 3, replace=False)] ^= 1
+        sigs.append(np.packbits(some, axis=1, bitorder="little").view("<i8").ravel())
+    m = np.array(sigs).view(np.uint64)
+    apart = np.bitwise_count(m[:, None] ^ m[None, :])
+    linked = (apart.min(2) <= 7) & (apart.sum(2) <= 66)
+    up = np.arange(len(m))
+    for a, b in np.argwhere(linked):
+        up[up == max(up[a], up[b])] = min(up[a], up[b])
+    assert 20 < len(set(up.tolist())) < 200 and linked.sum() < ((apart.min(2) <= 7).sum()) / 2
+    of = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sigs)], "doc_id long, sig array<long>")
+    monkeypatch.setattr(simhash, "signatures", lambda *_: of)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(of, bits=7, prints=8, most=66).collect()}
+    assert got == dict(enumerate(up.tolist()))
+
+
 def test_components_of_a_long_chain(spark):
     n = 400
     chain = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).repartition(7)
