@@ -4,7 +4,7 @@ A word's probability is that of its class, given two words to the left and two t
 that of the word in its class, from the corpus's exact counts. The commonest words are classes of
 their own, all others fall into classes by their ending. The network (a table for each of the four
 places, a tanh layer, a softmax over classes) is trained in numpy: every task makes one pass over
-windows of all its documents from the same start, and the weights are averaged by the number of
+the windows of all words of its documents from the same start, and the weights are averaged by the number of
 windows, in two steps of bounded fan-in. A document's score is the sum over all its words.
 
 What is gathered grows with the corpus: a count for each distinct word, and weights from each task.
@@ -31,7 +31,7 @@ from sluice.llm.common import Recent, batches, keep, only, pairs_of
 
 VOCABULARY, OWN, ENDINGS = 1024, 32, 32  # words with a code; of these, with a class; classes by ending
 PLACES = (-2, -1, 1, 2)
-HIDDEN, BATCH, STRIDE, RATE = 16, 512, 8, 0.01  # one window in STRIDE is trained on
+HIDDEN, BATCH, RATE = 16, 512, 0.01
 DISTINCT = 400_000  # words that a task counts before it hands them on
 CHUNK = 1 << 16
 PAD = VOCABULARY + ENDINGS  # beyond a document's ends
@@ -181,6 +181,11 @@ def coded(parts: Iterable[pa.RecordBatch], words: Words) -> Iterator[tuple[list,
         yield group()
 
 
+def targets(ids: np.ndarray) -> np.ndarray:
+    """The places that are trained on: those of all words."""
+    return np.flatnonzero(ids != PAD)
+
+
 def train(docs: DataFrame, words: Words) -> Network:
     """The averaged network of all tasks."""
     schema, ddl = pa.schema([("n", pa.int64()), ("weights", pa.binary())]), "n long, weights binary"
@@ -188,7 +193,7 @@ def train(docs: DataFrame, words: Words) -> Network:
     def fit(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step, rng = Trainer(), np.random.default_rng(3)
         for _, ids, _ in coded(parts, words):
-            at = np.flatnonzero(ids != PAD)[::STRIDE]
+            at = targets(ids)
             rng.shuffle(at)
             for k in range(0, len(at), BATCH):
                 step(ids, at[k : k + BATCH], words.of[ids[at[k : k + BATCH]]])

@@ -39,6 +39,12 @@ def test_gradient_against_differences():
         net.flat[k] = kept
 
 
+def test_every_word_is_trained_on():
+    docs = [[5], [1, 2, 3], list(range(40)), [7, 8]]
+    ids = np.array([x for d in docs for x in [M.PAD] * 2 + d] + [M.PAD] * 2)
+    assert ids[M.targets(ids)].tolist() == sum(docs, [])
+
+
 def test_scores_against_a_plain_loop_and_both_sides_count():
     rng = np.random.default_rng(1)
     words = M.Words({b"a": 0, b"b": 1}, np.arange(M.PAD + 1) % (M.OWN + M.ENDINGS), rng.normal(size=M.PAD + 1))
