@@ -1,14 +1,17 @@
 """Document scores by masked pseudo-likelihood: each word is predicted from the words on both sides.
 
 A word's probability is that of its class, given two words to the left and two to the right, times
-that of the word in its class, from the corpus's exact counts. The commonest words are classes of
-their own, all others fall into classes by their ending. The network (a table for each of the four
+that of the word in its class, from each word's exact count. The commonest words are classes of
+their own, all others fall into classes by their ending. As context, the VOCABULARY commonest words
+and all that occur LEAST times or more have a code each; rarer ones share that of their ending. The
+network (a table for each of the four
 places, a tanh layer, a softmax over classes) is trained in numpy: every task makes one pass over
-the windows of all words of its documents from the same start, and the weights are averaged by the number of
-windows, in two steps of bounded fan-in. A document's score is the sum over all its words.
+the windows of all words of its documents from the same start, and the weights are averaged: a code's by
+the windows that hold it, the others by all windows. A document's score is the sum over all its words.
 
-What is gathered grows with the corpus: a count for each distinct word, and weights from each task.
-The model that is sent back is bounded by VOCABULARY.
+The counts stay distributed: words without a code are joined with theirs to be scored. The model that
+is sent back holds the words of LEAST occurrences, which are far fewer than all words, and from a
+task come the weights of the codes that it met.
 
 Defined results: a null or blank text has no words and score 0; words are lower-cased in ASCII and
 split at ASCII white space; repeated rows count each and are each scored; a corpus without words
@@ -29,12 +32,13 @@ from pyspark.sql import functions as F
 
 from sluice.llm.common import Recent, batches, keep, only, pairs_of
 
-VOCABULARY, OWN, ENDINGS = 1024, 32, 32  # words with a code; of these, with a class; classes by ending
+VOCABULARY, OWN, ENDINGS = 1024, 32, 32  # words with a code in any case; of these, with a class; classes by ending
+LEAST = 256  # words that occur so often have a code as well
 PLACES = (-2, -1, 1, 2)
 HIDDEN, BATCH, RATE = 16, 512, 0.01
 DISTINCT = 400_000  # words that a task counts before it hands them on
 CHUNK = 1 << 16
-PAD = VOCABULARY + ENDINGS  # beyond a document's ends
+PAD = VOCABULARY + ENDINGS  # beyond a document's ends; codes above it are of words from rank VOCABULARY on
 
 
 def words_of(text: str) -> list[bytes]:
@@ -47,11 +51,15 @@ def ending(word: bytes) -> int:
 
 @dataclass
 class Words:
-    """The bounded vocabulary: codes, the class of each code, and its log-probability in the class."""
+    """The vocabulary: codes, the class of each code, and its log-probability in the class.
+
+    `alone` is what to add to the logarithm of a word's own count, for the codes that words share.
+    """
 
     code: dict[bytes, int]
     of: np.ndarray
     inside: np.ndarray
+    alone: np.ndarray | None = None
 
 
 def codes_of(words: Words) -> Recent:
@@ -83,9 +91,12 @@ def vocabulary(counts: DataFrame) -> Words | None:
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
     if not top:
         return None
+    if len(top) == VOCABULARY and top[-1]["n"] >= LEAST:
+        top = counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").collect()
     totals = {r["ending"]: (r["n"], r["types"]) for r in counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()}
-    code = {bytes(r["word"]): k for k, r in enumerate(top)}
-    of, inside = np.zeros(PAD + 1, np.int64), np.full(PAD + 1, -np.inf)
+    code = {bytes(r["word"]): k if k < VOCABULARY else k + ENDINGS + 1 for k, r in enumerate(top)}
+    size = PAD + 1 + max(0, len(top) - VOCABULARY)
+    of, inside, alone = np.zeros(size, np.int64), np.full(size, -np.inf), np.zeros(size)
     rest = {e: list(totals.get(e, (0, 0))) for e in range(ENDINGS)}
     for r in top:
         rest[r["ending"]][0] -= r["n"]
@@ -93,23 +104,24 @@ def vocabulary(counts: DataFrame) -> Words | None:
     listed = Counter()
     for r in top[OWN:]:
         listed[r["ending"]] += r["n"]
-    for k, r in enumerate(top):
+    for k, (c, r) in enumerate(zip(code.values(), top)):
         if k < OWN:
-            of[k], inside[k] = k, 0.0
+            of[c], inside[c] = k, 0.0
         else:
             e = r["ending"]
-            of[k], inside[k] = OWN + e, np.log(r["n"] / (listed[e] + rest[e][0] + 1))
+            of[c], inside[c] = OWN + e, np.log(r["n"] / (listed[e] + rest[e][0] + 1))
     for e in range(ENDINGS):
         n, types = rest[e]
         of[VOCABULARY + e], inside[VOCABULARY + e] = OWN + e, np.log((n + 1) / (listed[e] + n + 1) / (types + 1))
-    return Words(code, of, inside)
+        alone[VOCABULARY + e] = -np.log(listed[e] + n + 1)
+    return Words(code, of, inside, alone)
 
 
 class Network:
     """Tables (places, codes, hidden), a bias, and the softmax's weights and bias."""
 
-    def __init__(self, weights: np.ndarray | None = None):
-        classes, n = OWN + ENDINGS, PAD + 1
+    def __init__(self, weights: np.ndarray | None = None, codes: int = PAD + 1):
+        classes, n = OWN + ENDINGS, codes
         self.shapes = [(len(PLACES), n, HIDDEN), (HIDDEN,), (HIDDEN, classes), (classes,)]
         if weights is None:
             rng = np.random.default_rng(11)
@@ -130,45 +142,65 @@ class Network:
         s -= s.max(1, keepdims=True)
         return s - np.log(np.exp(s).sum(1, keepdims=True))
 
-    def gradient(self, ids: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """Of the mean negative log-likelihood of the classes `of` at the places `at`."""
-        out = Network(np.zeros_like(self.flat))
+    def slopes(self, ids: np.ndarray, at: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As gradient(): for each place's row of the tables, alike for all PLACES, and for what follows the tables."""
         h = self.hidden(ids, at)
         p = np.exp(self.log_classes(h))
         p[np.arange(len(at)), of] -= 1
         p /= len(at)
-        out.v[:], out.c[:] = h.T @ p, p.sum(0)
         d = (p @ self.v.T) * (1 - h * h)
-        out.b[:] = d.sum(0)
+        return d, np.concatenate([d.sum(0), (h.T @ p).ravel(), p.sum(0)])
+
+    def gradient(self, ids: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Of the mean negative log-likelihood of the classes `of` at the places `at`."""
+        out = Network(np.zeros_like(self.flat), self.tables.shape[1])
+        d, out.flat[self.tables.size :] = self.slopes(ids, at, of)
         for k, place in enumerate(PLACES):
             np.add.at(out.tables[k], ids[at + place], d)
         return out.flat
 
 
 class Trainer:
-    """One pass of Adam from the common start."""
+    """One pass of Adam from the common start; rows of the tables move when they are met."""
 
-    def __init__(self):
-        self.net, self.steps, self.windows = Network(), 0, 0
+    def __init__(self, codes: int = PAD + 1):
+        self.net, self.steps, self.windows = Network(codes=codes), 0, 0
+        self.met = np.zeros(codes, np.int64)  # in how many places of windows each code was
         self.first, self.second = np.zeros_like(self.net.flat), np.zeros_like(self.net.flat)
+        cut = self.net.tables.size
+        self.rows = [x[:cut].reshape(-1, HIDDEN) for x in (self.net.flat, self.first, self.second)]
+        self.rest = [x[cut:] for x in (self.net.flat, self.first, self.second)]
+
+    def move(self, kept: list[np.ndarray], which, g: np.ndarray) -> None:
+        w, first, second = kept
+        m, v = first[which], second[which]
+        m = m + np.float32(0.1) * (g - m)
+        v = v + np.float32(0.01) * (g * g - v)
+        first[which], second[which] = m, v
+        w[which] -= np.float32(RATE / (1 - 0.9**self.steps)) * m / (np.sqrt(v * np.float32(1 / (1 - 0.99**self.steps))) + np.float32(1e-8))
 
     def __call__(self, ids: np.ndarray, at: np.ndarray, of: np.ndarray) -> None:
-        g = self.net.gradient(ids, at, of)
+        d, rest = self.net.slopes(ids, at, of)
         self.steps += 1
         self.windows += len(at)
-        self.first += 0.1 * (g - self.first)
-        self.second += 0.01 * (g * g - self.second)
-        self.net.flat -= RATE * (self.first / (1 - 0.9**self.steps)) / (np.sqrt(self.second / (1 - 0.99**self.steps)) + 1e-8)
-
-
-def coded(parts: Iterable[pa.RecordBatch], words: Words) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """(ids, codes, sizes) of groups of documents: codes of all words, two PAD before each document and behind the last."""
+        n = len(self.met)
+        row = np.concatenate([ids[at + place] + k * n for k, place in enumerate(PLACES)])
+        order = np.argsort(row, kind="stable")
+        edge = np.flatnonzero(np.diff(row[order], prepend=-1))
+        which = row[order[edge]]
+        np.add.at(self.met, which % n, np.diff(edge, append=len(row)))
+        self.move(self.rows, which, np.add.reduceat(d[order % len(at)], edge, axis=0))
+        self.move(self.rest, slice(None), rest)
+
+
+def coded(parts: Iterable[pa.RecordBatch], words: Words) -> Iterator[tuple[list, np.ndarray, np.ndarray, list]]:
+    """(ids, codes, sizes, words) of groups of documents: codes of all words, two PAD before each document and behind the last."""
     codes = codes_of(words)
     ids, texts, count = [], [], 0
 
-    def group() -> tuple[list, np.ndarray, np.ndarray]:
+    def group() -> tuple[list, np.ndarray, np.ndarray, list]:
         gap, sizes = np.full(2, PAD, np.int64), np.array([len(t) for t in texts], np.int64)
-        return ids, np.concatenate([x for t in texts for x in (gap, np.fromiter(map(codes.__getitem__, t), np.int64, len(t)))] + [gap]), sizes
+        return ids, np.concatenate([x for t in texts for x in (gap, np.fromiter(map(codes.__getitem__, t), np.int64, len(t)))] + [gap]), sizes, texts
 
     for i, text in pairs_of(parts):
         ids.append(i)
@@ -188,30 +220,39 @@ def targets(ids: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, words: Words) -> Network:
     """The averaged network of all tasks."""
-    schema, ddl = pa.schema([("n", pa.int64()), ("weights", pa.binary())]), "n long, weights binary"
+    codes = len(words.of)
+    schema, ddl = pa.schema([("code", pa.int64()), ("n", pa.int64()), ("weights", pa.binary())]), "code long, n long, weights binary"
 
     def fit(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step, rng = Trainer(), np.random.default_rng(3)
-        for _, ids, _ in coded(parts, words):
+        """The rows of the tables of each code that was met, and under -1 what follows the tables."""
+        step, rng = Trainer(codes), np.random.default_rng(3)
+        for _, ids, _, _ in coded(parts, words):
             at = targets(ids)
             rng.shuffle(at)
             for k in range(0, len(at), BATCH):
                 step(ids, at[k : k + BATCH], words.of[ids[at[k : k + BATCH]]])
         if step.windows:
-            yield from batches([(step.windows, (step.net.flat.astype(np.float64) * step.windows).tobytes())], schema)
+            met = np.flatnonzero(step.met).tolist()
+            yield from batches(((c, int(step.met[c]), step.net.tables[:, c].tobytes()) for c in met), schema)
+            yield from batches([(-1, step.windows, step.rest[0].tobytes())], schema)
 
     def add(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0, None
+        total: dict[int, tuple] = {}
         for part in parts:
-            for more, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                w = np.frombuffer(raw)
-                n, total = n + more, w if total is None else total + w
-        if total is not None:
-            yield from batches([(n, total.tobytes())], schema)
-
-    few = int(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5) + 1
-    got = docs.mapInArrow(fit, ddl).repartition(few).mapInArrow(add, ddl).repartition(1).mapInArrow(add, ddl).first()
-    return Network(np.frombuffer(got["weights"]) / got["n"]) if got else Network()
+            for c, n, raw in zip(*(x.to_pylist() for x in part.columns)):
+                m, w = total.get(c, (0, 0.0))
+                total[c] = m + n, w + np.frombuffer(raw, np.float32) * float(n)
+        yield from batches(((c, n, (w / n).astype(np.float32).tobytes()) for c, (n, w) in total.items()), schema)
+
+    net = Network(codes=codes)
+    got = docs.mapInArrow(fit, ddl).repartition("code").mapInArrow(add, ddl).toArrow()
+    for c, raw in zip(got.column("code").to_pylist(), got.column("weights").to_pylist()):
+        w = np.frombuffer(raw, np.float32)
+        if c < 0:
+            net.flat[net.tables.size :] = w
+        else:
+            net.tables[:, c] = w.reshape(len(PLACES), HIDDEN)
+    return net
 
 
 def log_likelihoods(net: Network, words: Words, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -228,16 +269,31 @@ def log_likelihoods(net: Network, words: Words, ids: np.ndarray, sizes: np.ndarr
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, log_prob, per_token) of each row, under a model of all rows."""
     texts = only(docs, id_col, text_col)
-    words = vocabulary(keep(count_words(texts), "counts"))
-    net = train(texts, words) if words else None
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64()), ("per_token", pa.float64())])
+    counts = keep(count_words(texts), "counts")
+    words = vocabulary(counts)
+    if words is None:
+        zero = F.lit(0.0)
+        return texts.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), zero.alias("log_prob"), zero.alias("per_token"))
+    net = train(texts, words)
+    shared = np.zeros(len(words.of), bool)
+    shared[VOCABULARY:PAD] = True
+    known = Words(words.code, words.of, np.where(shared, words.alone, words.inside))
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if net is None:
-            yield from batches(((i, 0, 0.0, 0.0) for i, _ in pairs_of(parts)), schema)
-            return
-        for ids, codes, sizes in coded(parts, words):
-            total = log_likelihoods(net, words, codes, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(total), pa.array(total / np.maximum(sizes, 1))], schema=schema)
-
-    return texts.mapInArrow(run, "doc_id long, n_tokens long, log_prob double, per_token double")
+        """Scores but for the logarithms of the counts of words without a code; these words with how often they occur."""
+        for ids, codes, sizes, texts in coded(parts, known):
+            total, rare = log_likelihoods(net, known, codes, sizes), shared[codes[codes != PAD]]
+            ends = np.cumsum(sizes).tolist()
+            found = [Counter(t[k] for k in np.flatnonzero(rare[z - len(t) : z]).tolist()) for t, z in zip(texts, ends)]
+            offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            lists = (pa.ListArray.from_arrays(offsets, pa.array([x for f in found for x in of(f)], kind)) for of, kind in ((Counter.keys, pa.binary()), (Counter.values, pa.int32())))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(total, pa.float64()), *lists], names=["doc_id", "n_tokens", "part", "words", "times"])
+
+    ddl = "doc_id long, n_tokens long, part double, words array<binary>, times array<int>"
+    parts = keep(texts.mapInArrow(run, ddl).withColumn("row", F.monotonically_increasing_id()), "parts")  # kept, so a row has one number
+    rare = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    own = counts.select("word", F.log(F.col("n").cast("double")).alias("log_n")).hint("shuffle_hash")
+    summed = rare.join(own, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log_n")).alias("counted"))
+    log_prob = F.col("part") + F.coalesce("counted", F.lit(0.0))
+    every = parts.select("row", "doc_id", "n_tokens", "part").join(summed, "row", "left")
+    return every.select("doc_id", "n_tokens", log_prob.alias("log_prob"), (log_prob / F.greatest("n_tokens", F.lit(1))).alias("per_token"))

@@ -62,6 +62,24 @@ def test_scores_against_a_plain_loop_and_both_sides_count():
         assert abs(total - want) < 1e-3
 
 
+def test_words_beyond_the_vocabulary_keep_their_counts(spark):
+    """Two words of one ending in the same context differ by their own counts."""
+    common = " ".join(f"c{k}" for k in range(M.VOCABULARY))
+    rows = [(k, common) for k in range(60)] + [(100 + k, "c1 c2 ofteng c3 c4") for k in range(50)] + [(200, "c1 c2 rareng c3 c4"), (200, "c1 c2 rareng c3 c4")]
+    got = {}
+    for r in M.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got.setdefault(r.doc_id, []).append(r.log_prob)
+    assert len(got[200]) == 2 and all(abs(got[100][0] - x - math.log(50 / 2)) < 1e-4 for x in got[200])
+
+
+def test_vocabulary_grows_with_the_corpus(spark):
+    n = M.VOCABULARY + 80
+    rows = [(b"w%d" % k, M.ending(b"w%d" % k), M.LEAST + n - k) for k in range(n)] + [(b"few", M.ending(b"few"), M.LEAST - 1)]
+    words = M.vocabulary(spark.createDataFrame(rows, "word binary, ending int, n long"))
+    assert len(words.code) == n and b"few" not in words.code
+    assert len({*words.code.values()} - set(range(M.VOCABULARY, M.PAD + 1))) == n and max(words.code.values()) == len(words.of) - 1
+
+
 def test_text_in_order_scores_higher_than_shuffled(spark):
     rng = random.Random(2)
     follow = {w: rng.sample(range(40), 3) for w in range(40)}
