@@ -1,0 +1,173 @@
+"""Near copies by the exact Jaccard similarity of their shingles, found by prefix filtering.
+
+All shingles are ordered in one way, common ones last. Two sets of a similarity of at least `least`
+share one of the first n - ceil(least * n) + 1 of the n shingles of each, so sets are dealt by these,
+and no pair is missed. Within a shingle, sets are compared with its first CENTRES sets, and in each
+further round with twice as many of the following ones, but only where they are in different
+components so far; pairs whose sizes or places rule the similarity out are left out. So n copies of
+each other give n links or so, and a shingle of n sets that are all apart gives all its pairs. Each
+pair is decided by its whole sets.
+
+Which shingles are common is learnt from a sample of the texts. That decides the order, and so the
+cost, but not what is found. Shingles are compared by 64 bits of hash, equal sets by 128.
+
+Defined results: a null text is empty; texts without words are copies of each other and of nothing
+else; fewer words than a shingle are one shingle; words are lower-cased in ASCII and split at ASCII
+white space; of rows that repeat a doc_id all or none stay; rows of a null doc_id stay.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+from fractions import Fraction
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sluice.llm.common import components, keep, only, pairs_of
+
+SAMPLE, OFTEN, COMMON = 16_384, 8, 1 << 16  # texts of the sample; how often a common shingle is there; common shingles at most
+CENTRES = 4
+
+
+def shingles(text: str, length: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    grams = [b" ".join(words)] if len(words) < length else map(b" ".join, zip(*(words[k:] for k in range(length))))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64))
+
+
+def prefix(h: np.ndarray, least: Fraction, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order of all; common: sorted hashes, rank: their places in that order."""
+    n = len(h)
+    size = n - -(-least.numerator * n // least.denominator) + 1 if n else 0
+    if not len(common):
+        return h[:size]
+    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+    late = np.where(common[at] == h, rank[at] + 1, 0)
+    return h[np.argsort(late, kind="stable")[:size]]
+
+
+def frequent(texts: DataFrame, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ranks) of shingles that are common in a sample of the texts."""
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = [shingles(t, length) for _, t in pairs_of([part])]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["h"])
+
+    every = max(1, texts.count() // SAMPLE)
+    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    top = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
+    h = top.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], (len(h) - 1 - np.arange(len(h)))[order]
+
+
+def sizes_allow(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, least: Fraction) -> np.ndarray:
+    """Whether sets of sizes a and b, which share the shingle at places of_a and of_b, can be similar enough."""
+    most = np.minimum(of_a, of_b) + 1 + np.minimum(a - of_a - 1, b - of_b - 1)
+    return most * least.denominator >= (a + b - most) * least.numerator
+
+
+def _pairs(dealt: DataFrame, labels: DataFrame | None, start: int, stop: int, least: Fraction) -> DataFrame:
+    """(a long, b long): the sets of each shingle with those of places start to stop, of other components."""
+    if labels is None:
+        rows = dealt.withColumn("root", F.col("rep"))
+    else:
+        rows = dealt.join(labels, dealt["rep"] == labels["node"], "left").withColumn("root", F.coalesce("root", "rep"))
+    rows = rows.select("h", "rep", "n", "place", "root")
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(h, rep, n, place, root) -> Iterator[pa.RecordBatch]:
+            edge = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            size = np.diff(edge, append=len(h))
+            within = np.arange(len(h)) - np.repeat(edge, size)
+            first = np.repeat(edge, size)
+            for c in range(start, min(stop, int(size.max()))):
+                b = np.flatnonzero(within > c)
+                a = first[b] + c
+                ok = (root[a] != root[b]) & sizes_allow(n[a], n[b], place[a], place[b], least)
+                a, b = rep[a[ok]], rep[b[ok]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        held: list[list[np.ndarray]] = []
+        limit = 1 << 16
+        for part in parts:
+            held.append([c.to_numpy() for c in part.columns])
+            if sum(len(x[0]) for x in held) >= limit:
+                now = [np.concatenate(c) for c in zip(*held)]
+                cut = int(np.searchsorted(now[0], now[0][-1]))
+                if cut:
+                    yield from found(*(c[:cut] for c in now))
+                held = [[c[cut:] for c in now]]
+                limit = max(1 << 16, 2 * len(held[0][0]))
+        if held and sum(len(x[0]) for x in held):
+            yield from found(*(np.concatenate(c) for c in zip(*held)))
+
+    return rows.repartition("h").sortWithinPartitions("h", "rep", "n", "place").mapInArrow(run, "a long, b long").distinct()
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 5, least: str = "0.8") -> DataFrame:
+    """(doc_id, component_id) of each row of a doc_id; component_id is the smallest doc_id that near copies reach."""
+    bound = Fraction(least)
+    texts = only(docs, id_col, text_col).where("doc_id is not null")
+    common, rank = frequent(texts, length)
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            sets = [shingles(t, length) for _, t in pairs_of([part])]
+            firsts = [prefix(h, bound, common, rank).view(np.int64) for h in sets]
+            offsets = pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
+            keys = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), keys, pa.array([len(h) for h in sets], pa.int64()), lists], names=["doc_id", "same", "n", "firsts"])
+
+    def whole(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for at in range(0, part.num_rows, 256):
+                piece = part.slice(at, 256)
+                sets = [shingles(t, length).view(np.int64) for _, t in pairs_of([piece])]
+                offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+                yield pa.RecordBatch.from_arrays([piece.column(0), lists], names=["rep", "hashes"])
+
+    of = keep(texts.mapInArrow(run, "doc_id long, same binary, n long, firsts array<long>"), "prefixes")
+    reps = keep(of.groupBy("same").agg(F.min("doc_id").alias("rep")), "reps")
+    one = of.join(reps, (of["same"] == reps["same"]) & (of["doc_id"] == reps["rep"])).select("rep", "n", "firsts", of["same"]).dropDuplicates(["same"])
+    rows = one.select("rep", "n", F.posexplode("firsts").alias("place", "h")).select("h", "rep", F.col("n").cast("long"), F.col("place").cast("long"))
+    dealt = keep(rows, "dealt")
+    shared = dealt.groupBy("h").agg(F.count("*").alias("sets")).where("sets > 1")
+    dealt = keep(dealt.join(shared, "h"), "shared")
+    met = dealt.select(F.col("rep").alias("doc_id")).distinct()
+    sets = keep(texts.join(met, "doc_id", "left_semi").mapInArrow(whole, "rep long, hashes array<long>"), "sets")
+    longest = dealt.agg(F.max("sets")).first()[0] or 0
+
+    links, labels, start, stop = None, None, 0, CENTRES
+    while start < longest - 1:
+        a, b = (sets.select(F.col("rep").alias(x), F.col("hashes").alias(f"of_{x}")) for x in "ab")
+        both = F.size(F.array_intersect("of_a", "of_b"))
+        union = F.size("of_a") + F.size("of_b") - both
+        open_ = dealt.where(F.col("sets") > start + 1)
+        pairs = _pairs(open_, labels, start, stop, bound).where("a <> b").join(a, "a").join(b, "b")
+        new = keep(pairs.where(both * bound.denominator >= union * bound.numerator).select("a", "b"), "pairs")
+        links = new if links is None else links.union(new)
+        labels = keep(components(links), "labels")
+        start, stop = stop, stop + 2 * (stop - start)
+    named = reps if labels is None else reps.join(labels, reps["rep"] == labels["node"], "left")
+    root = F.col("rep") if labels is None else F.coalesce("root", "rep")
+    return of.select("doc_id", "same").join(named.select("same", root.alias("component_id")), "same").select("doc_id", "component_id")
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 5, least: str = "0.8") -> DataFrame:
+    """docs without the near copies: of each component the row of the smallest doc_id stays."""
+    lost = near_copies(docs, id_col, text_col, length, least).where("doc_id <> component_id").select(F.col("doc_id").alias("__lost")).distinct()
+    return docs.join(lost, docs[id_col] == lost["__lost"], "left_anti")

@@ -1,0 +1,54 @@
+import numpy as np
+import pytest
+
+import corpus_pipeline as C
+from sluice.llm import near_sets as N
+
+
+def brute(rows, least=0.8):
+    """{doc_id: smallest reachable} by the similarity of all pairs."""
+
+    def grams(text):
+        w = (text or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, up = {i: grams(t) for i, t in rows}, {i: i for i, _ in rows}
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])):
+                old, new = max(up[a], up[b]), min(up[a], up[b])
+                up = {i: new if c == old else c for i, c in up.items()}
+    return up
+
+
+def test_stage_keeps_by_the_exact_similarity(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert {r.doc_id for r in C.one_of_each(spark, docs, sf).collect()} == set(want.values())
+
+
+@pytest.mark.parametrize("often", [8, 10**9])
+def test_graded_group_against_all_pairs(spark, monkeypatch, often):
+    """One base text with more and more words changed, and texts of a common passage that are no copies."""
+    monkeypatch.setattr(N, "OFTEN", often)
+    rng = np.random.default_rng(3)
+    base, rows = [f"w{k}" for k in range(200)], []
+    for k in range(90):
+        words = list(base)
+        for at in rng.choice(200, k % 9, replace=False):
+            words[at] = f"x{rng.integers(0, 10**6)}"
+        rows.append((k, " ".join(words)))
+    for k in range(40):
+        rows.append((100 + k, " ".join(base[:30] + [f"y{x}" for x in rng.integers(0, 10**6, 20)])))
+    rows += [(200, None), (201, " "), (202, "one Two"), (203, "ONE two"), (204, "one")]
+    want = brute(rows)
+    got = {r.doc_id: r.component_id for r in N.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want and 20 < len(set(want.values())) < len(rows) - 20
+
+
+def test_null_ids_repeats_and_other_columns(spark):
+    rows = [(5, "a b c d e f", 1), (5, "a b c d e f", 2), (9, "A b c d\te f", 3), (None, "a b c d e f", 4), (7, "g", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h int")
+    kept = N.without_near_copies(docs)
+    assert kept.columns == docs.columns and sorted(r.h for r in kept.collect()) == [1, 2, 4, 5]
+    assert N.without_near_copies(docs.limit(0)).count() == 0
