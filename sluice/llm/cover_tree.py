@@ -6,8 +6,8 @@ inner product below it: (q + a) (r + b) <= qr + |a||r| + |b||q| + |a||b|. A pair
 out when that bound is below the worst kth score among the queries under the node. Each task returns
 k rows a query, and the best k of all blocks' rows are the result.
 
-Equal vectors are one point of the tree with all its ids; of these only the k + 1 smallest can be
-among the best k, whatever the query. Blocks are dealt by a hash of the id, so no key is hot.
+Equal vectors are one point of the tree with all its ids; of these only the k smallest rows, and the
+k smallest whose id isn't the first's, can be among the best k, whatever the query. Blocks are dealt by a hash of the id, so no key is hot.
 
 Defined results: vectors that are null or hold a null or a number that isn't finite, and rows of
 null id, take no part; vectors of other lengths are never compared; rows that repeat a query's id
@@ -114,6 +114,12 @@ def _matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids, values.reshape(len(ids), -1)
 
 
+def needed(ids: np.ndarray, k: int) -> np.ndarray:
+    """Of a point's sorted ids, which may repeat, those that can be among the best k of some query."""
+    other = int(np.searchsorted(ids, ids[0], side="right"))  # a query of the first id needs what comes from here on
+    return np.concatenate([ids[: min(other, k)], ids[other : other + k]])
+
+
 def search_block(queries: pa.Table, data: pa.Table, k: int) -> pa.Table:
     """(query_id, vec_id, score): the best k of a block of data for each query of a block."""
     if not queries.num_rows or not data.num_rows:
@@ -123,7 +129,7 @@ def search_block(queries: pa.Table, data: pa.Table, k: int) -> pa.Table:
     points, of = np.unique(r, axis=0, return_inverse=True)
     order = np.lexsort((ids, of))
     own = np.split(ids[order], np.flatnonzero(np.diff(of.ravel()[order])) + 1)
-    found = Search(q, q_ids, points, [i[: k + 1] for i in own], k)
+    found = Search(q, q_ids, points, [needed(i, k) for i in own], k)
     found.run()
     row, place = np.nonzero(found.ids != np.iinfo(np.int64).max)
     return pa.table([q_ids[row], found.ids[row, place], found.scores[row, place]], schema=OUT)

@@ -44,6 +44,13 @@ def test_blocks_against_brute_force(spark, monkeypatch, kind):
     assert rows_of(C.top_k(vectors, vectors.where("vec_id % 29 = 0"))) == brute(rows, {i for i, _ in rows if i % 29 == 0})
 
 
+def test_query_id_repeated_more_often_than_k(spark):
+    """Twelve rows of a query's id, and another id's equal vector."""
+    rows = [(100, [1.0, 2.0])] * 12 + [(103, [1.0, 2.0]), (104, [0.5, 0.5])] + [(50, [3.0, 1.0])] * 12 + [(60, [3.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert rows_of(C.top_k(vectors, vectors.where("vec_id in (50, 60, 100)"))) == brute(rows, {50, 60, 100})
+
+
 def test_pruning_happens():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(30, 8)) * 1000
