@@ -6,31 +6,49 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, local runs), a temporary one."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one for a local master only.
+
+    On a cluster the driver's and the executors' own folders differ, so there an unset folder is an error.
+    """
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="sluice-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="sluice-"))
     return where
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def keep(df: DataFrame, name: str = "kept") -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: this cuts lineage and outlives lost executors.
 
-    The files go when the driver's JVM ends.
+    The files go by release(), or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/sluice-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept = at
+    return kept
+
+
+def release(*kept: DataFrame | None) -> None:
+    """Deletes the files of what keep() gave; nothing may read them any more."""
+    for df in kept:
+        if df is not None:
+            df._kept.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(df._kept.getParent(), True)
 
 
 #: Texts can be long, so few rows cross to Python at a time.
@@ -147,8 +165,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Each task first shrinks its own links to stars; then large-star and small-star rounds, each a
     map-side-combined minimum and a join, run until nothing changes. Every round is written to the
-    shared folder, so that plans stay short. Roots themselves are rows too. Nothing is collected but
-    a count and a checksum a round.
+    shared folder, so that plans stay short, and so are the minima: both sides of a join are then
+    plain shuffles, and the many rows of a hub can be split over tasks. Roots themselves are rows
+    too. Nothing is collected but a count and a checksum a round.
     """
     e = keep(links.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long"), "links")
     seen = None
@@ -158,10 +177,20 @@ def components(links: DataFrame) -> DataFrame:
             break
         seen = tuple(now)
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b"), F.col("a")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        # Only nodes with a smaller neighbour have another minimum than themselves.
+        least = keep(both.groupBy("u").agg(F.min("v").alias("m")).where("m < u"), "least")
+        met = both.where("v > u").join(least, "u", "left").select(F.col("v").alias("a"), F.coalesce("m", "u").alias("b"))
+        large = keep(met.distinct(), "large")
         # Here a > b on every row, so that the small star of a is all its rows.
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        down = keep(large.groupBy("a").agg(F.min("b").alias("m")), "down")
         small = large.join(down, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        e = keep(small.where("a <> b").distinct(), "links")
+        before, e = e, keep(small.where("a <> b").distinct(), "links")
+        release(before, least, large, down)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b")).distinct()
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A fixed one-to-one scramble of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

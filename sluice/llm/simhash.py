@@ -3,41 +3,49 @@
 A fingerprint's 64 bits are cut into one segment more than the bits that may differ, laid out as a
 ring. Where two fingerprints differ in at most `bits` bits, some segment starts a chain such that
 each first l segments of it differ in at most l * bits / segments bits. So the chain's first segment
-is equal (that is the key by which fingerprints are dealt), its second differs in one bit at most
-(that is how large keys are cut further), and the longer chains are checked before the whole.
+is equal (that is the key by which fingerprints are dealt; where a value is frequent, its rows are
+dealt by the second segment too, but for one bit), its second differs in one bit at most, its third
+in two (that is how long runs are cut further), and the longer chains are checked before the whole.
 
-Equal fingerprints are one node, so that copies cost nothing here, and within a key links are made
-only as far as they join something: a dense ball of n fingerprints gives n - 1 links.
+Equal fingerprints are one node, so that copies cost nothing here. Links of one fingerprint are
+joined as they are found, in an array of roots: memory is bounded by the rows of a key, not by its
+links, and each row sends at most one link on. Of a long dense run only rows that are not joined yet
+are compared.
 
-One fingerprint of 64 bits is near only for texts that are nearly equal. To find texts of a lower
-similarity, a signature of several fingerprints can be taken, each from another mix of the same
-shingle hashes: texts are candidates if any one pair of fingerprints is near, and are linked if the
-whole signatures differ in at most `most` bits. The whole is compared before links are thinned, so
-that a candidate which fails can't take the place of a link.
+One fingerprint of 64 bits is near only for texts that are nearly equal. near_copies() finds texts of
+a lower similarity: `prints` fingerprints each, from as many mixes of the shingle hashes; texts are
+candidates if any pair of fingerprints passes the ring, and are decided by the exact Jaccard
+similarity of their shingles. At a similarity of 0.8 about 15 % of the bits differ, so that seven
+bits at most differ in one of sixteen fingerprints in 98 of 100 cases; at 0.85 in nearly all.
 
 Defined results: a null text is empty, and an empty text (no word) has fingerprint 0, which links
 like any other; fewer words than a shingle are one shingle; repeated rows get the same component;
 a null doc_id is kept and takes no part in naming a component. An empty table gives an empty table.
+Texts are read whole, however long; other columns may have any names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from fractions import Fraction
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import components, keep, only, pairs_of
+from sluice.llm.common import components, keep, mix, only, pairs_of, release
 
 SEED = 42
-SMALL = 48  # runs up to this length are compared pair by pair
-CHUNK, ROWS = 32_768, 300_000  # rows that are searched at once, and copies of them by the bits left out
-LARGE = 8192  # runs up to this length are not cut by a third segment
-
+SMALL = 24  # runs up to this length are compared pair by pair
+LARGE = 1024  # joined runs up to this length are not cut further
+CHUNK, ROWS = 32_768, 200_000  # rows that are searched at once, and copies of them by the bits left out
+HEAVY = 65_536  # rows of a segment's value beyond which they are dealt by the second segment too
+CENTRES = 4  # rows of a dense run that all others are compared with at first
+DOMAIN = 1 << 20  # values of segments that are counted
 
 _LOWER = np.arange(8) * 256
 _BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.int64)
@@ -52,36 +60,19 @@ def _ones(h: np.ndarray) -> np.ndarray:
     return ones
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def signature(text: str, shingle: int = 4, prints: int = 1) -> list[int]:
-    """The SimHashes of a text, as unsigned 64-bit integers; the first is of the plain shingle hashes."""
+def hashes(text: str, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; of a shorter text the whole."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the six ASCII spaces only
     if not words:
-        return [0] * prints
-    if len(words) < shingle:
-        grams: Iterable[bytes] = [b" ".join(words)]
-    else:
-        grams = map(b" ".join, zip(*(words[k:] for k in range(shingle))))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype="<u8")
-    ones = np.stack([_ones(h if k == 0 else _mix(h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))) for k in range(prints)])
-    return np.packbits(2 * ones > len(h), axis=1, bitorder="little").view("<u8").ravel().tolist()
-
+        return np.zeros(0, "<u8")
+    grams: Iterable[bytes] = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[k:] for k in range(shingle))))
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype="<u8")
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, prints: int = 1) -> DataFrame:
-    """(doc_id long, sig array<long>): the fingerprints of each row, their bits read as signed longs."""
 
-    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            rows = np.array([signature(t, shingle, prints) for _, t in pairs_of([part])], np.uint64).reshape(-1, prints)
-            offsets = pa.array(np.arange(len(rows) + 1) * prints, pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(rows.view(np.int64).ravel()))], names=["doc_id", "sig"])
-
-    return only(docs, id_col, text_col).mapInArrow(run, "doc_id long, sig array<long>")
+def signature(h: np.ndarray, prints: int = 1) -> np.ndarray:
+    """The SimHashes of shingle hashes, as unsigned 64-bit integers; the first is of the plain hashes."""
+    ones = np.stack([_ones(h if k == 0 else mix(h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))) for k in range(prints)])
+    return np.packbits(2 * ones > len(h), axis=1, bitorder="little").view("<u8").ravel()
 
 
 def segments(bits: int) -> list[tuple[int, int]]:
@@ -96,7 +87,7 @@ def _mask(shift: int, width: int) -> int:
 
 
 def _near(x: np.ndarray, start: int, bits: int, ring: list[tuple[int, int]]) -> np.ndarray:
-    """Which of the differences x pass: chains of three segments and more from start, then the whole."""
+    """Which of the differences x pass: chains of two segments and more from start, then the whole."""
     ok, chain = np.ones(len(x), dtype=bool), 0
     for n in range(len(ring) - 1):
         chain |= _mask(*ring[(start + n) % len(ring)])
@@ -108,189 +99,384 @@ def _near(x: np.ndarray, start: int, bits: int, ring: list[tuple[int, int]]) ->
     return ok
 
 
-#: Which pairs of rows are links, after one fingerprint was found near.
-Passes = Callable[[np.ndarray, np.ndarray], np.ndarray]
-
-
-def _ball(f: np.ndarray, bits: int, passes: Passes) -> list[tuple[int, int]]:
-    """Positions of links that join all of f that can be joined: each point is compared with those not reached yet."""
-    alone = np.ones(len(f), bool)
-    for at in range(0, len(f), 1024):
-        near = np.bitwise_count(f[at : at + 1024, None] ^ f[None, :]) <= bits
-        alone[at : at + 1024] = near.sum(1) < 2
-    left, links = np.flatnonzero(~alone), []
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            p = queue.pop()
-            near = np.bitwise_count(f[left] ^ f[p]) <= bits
-            near[near] = passes(np.full(near.sum(), p), left[near])
-            if near.any():
-                reached = left[near]
-                links += [(p, q) for q in reached]
-                queue += list(reached)
-                left = left[~near]
-    return links
-
-
-def _tree(pairs: np.ndarray, apart: np.ndarray) -> np.ndarray:
-    """Of links and their distances, the nearest that still join something: as many as nodes at most, each a true link."""
-    up: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (y := up.get(x, x)) != x:
-            up[x] = up.get(y, y)
-            x = y
-        return x
-
-    order, kept = np.lexsort((pairs[:, 1], pairs[:, 0], apart)), []
-    for k, a, b in zip(order.tolist(), *pairs[order].T.tolist()):
-        a, b = root(a), root(b)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-            kept.append(k)
-    return pairs[kept]
-
-
-def _by_runs(key: np.ndarray, f: np.ndarray, n: np.ndarray, start: np.ndarray, bits: int, ring, deeper, passes: Passes) -> Iterator[np.ndarray]:
-    """Links within runs of equal keys: small ones pair by pair, lag by lag; others are handed on."""
-    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-    size = np.diff(edge)
-    few = np.repeat((size > 1) & (size <= SMALL), size)
-    kf, ff, nf, sf = key[few], f[few], n[few], start[few]
-    at = np.arange(len(kf))
-    for lag in range(1, SMALL):
-        at = at[at + lag < len(kf)]
-        at = at[kf[at + lag] == kf[at]]  # in order of keys, a lag can match only where the one before did
-        if not len(at):
-            break
-        x, of = ff[at + lag] ^ ff[at], sf[at]
-        for s in np.unique(of):
-            mine = at[of == s]
-            good = mine[_near(x[of == s], int(s), bits, ring)]
-            good = good[passes(nf[good], nf[good + lag])]
-            if len(good):
-                yield np.stack([nf[good], nf[good + lag], np.bitwise_count(ff[good] ^ ff[good + lag])], 1)
-    for r in np.flatnonzero(size > SMALL):
-        a, b = edge[r], edge[r + 1]
-        yield from deeper(f[a:b], n[a:b], int(start[a]))
-
-
-def _cut(run: np.ndarray, f: np.ndarray, n: np.ndarray, start: np.ndarray, level: int, bits: int, ring, deeper, passes: Passes) -> Iterator[np.ndarray]:
-    """Cuts runs by the chain's next segment but for `level` bits, every choice of bits in turn, and goes on with the parts."""
-    nxt = (start + level) % len(ring)
-    shift, width = (np.array([x[k] for x in ring], np.uint64)[nxt] for k in (0, 1))
-    seg = (f >> shift) & ((np.uint64(1) << width) - np.uint64(1))
-    most = max(x[1] for x in ring)
-    choices = list(combinations(range(most), min(level, most)))
-    step = max(1, ROWS // max(1, len(f)))
-    for k in range(0, len(choices), step):
-        some = choices[k : k + step]
-        clear = np.array([sum(1 << j for j in out) for out in some], np.uint64)
-        key = ((run[None, :] * len(some) + np.arange(len(some))[:, None]).astype(np.uint64) << np.uint64(most) | seg[None, :] & ~clear[:, None]).ravel()
-        order = np.argsort(key, kind="stable")
-        row = order % len(f)
-        yield from _by_runs(key[order], f[row], n[row], start[row], bits, ring, deeper, passes)
-
-
-def links(reps: DataFrame, bits: int = 4, prints: int = 1, most: int | None = None) -> DataFrame:
-    """(a long, b long): links between signatures of which some fingerprint is near, enough to join all that are linked.
-
-    reps: (sig array<long>, rep long), a row for each signature; links name the rep. With `most`, a
-    row that is dealt carries the whole signature, of which so many bits may differ.
+class Joined:
+    """Which of n places are joined; links are held for a while and then taken together."""
+
+    def __init__(self, n: int):
+        self.root, self.held, self.count = np.arange(n), [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.held.append((a, b))
+        self.count += len(a)
+        if self.count >= 1 << 17:
+            self.settle()
+
+    def settle(self) -> np.ndarray:
+        """The smallest place of each place's component."""
+        if self.held:
+            a, b = (np.concatenate(x) for x in zip(*self.held))
+            self.held, self.count = [], 0
+            while True:
+                x, y = self.root[a], self.root[b]
+                apart = np.flatnonzero(x != y)
+                if not len(apart):
+                    break
+                a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+                np.minimum.at(self.root, np.maximum(x, y), np.minimum(x, y))
+                while not np.array_equal(up := self.root[self.root], self.root):
+                    self.root = up
+        return self.root
+
+
+class Ring:
+    """The search among rows that share a chain's first segment. Places name the rows.
+
+    found(a, b) takes links; long(f, at, start) takes each run that is dense, or as short as `large`, or cut as far as can be.
     """
+
+    def __init__(self, bits: int, small: int, large: int, found: Callable, long: Callable):
+        self.bits, self.ring, self.small, self.large, self.found, self.long = bits, segments(bits), small, large, found, long
+        self.last = min(3, len(self.ring) - 1)
+
+    def runs(self, key: np.ndarray, f: np.ndarray, at: np.ndarray, start: np.ndarray, level: int = 0) -> None:
+        """Rows sorted by key. Short runs are compared lag by lag; what is neither short nor dense is cut."""
+        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        size = np.diff(edge)
+        few = np.repeat((size > 1) & (size <= self.small), size)
+        kf, ff, nf, sf = key[few], f[few], at[few], start[few]
+        k = np.arange(len(kf))
+        for lag in range(1, self.small):
+            k = k[k + lag < len(kf)]
+            k = k[kf[k + lag] == kf[k]]  # in order of keys, a lag can match only where the one before did
+            if not len(k):
+                break
+            x, of = ff[k + lag] ^ ff[k], sf[k]
+            k_near = np.flatnonzero(np.bitwise_count(x) <= self.bits)
+            for s in np.unique(of[k_near]):
+                mine = k_near[of[k_near] == s]
+                good = k[mine[_near(x[mine], int(s), self.bits, self.ring)]]
+                if len(good):
+                    self.found(nf[good], nf[good + lag])
+        many = size > self.small
+        if not many.any():
+            return
+        run = np.repeat(np.arange(len(size)), size)
+        near = np.maximum(*(np.bincount(run, np.bitwise_count(f ^ f[edge[:-1] + (size * part).astype(int)][run]) <= self.bits, len(size)) for part in (0, 0.5)))
+        over = many & ((size <= self.large) | (4 * near >= size) | (level >= self.last))
+        for r in np.flatnonzero(over):
+            a, b = edge[r], edge[r + 1]
+            self.long(f[a:b], at[a:b], int(start[a]))
+        rest = np.flatnonzero((many & ~over)[run])
+        if len(rest):
+            self.cut(run[rest], f[rest], at[rest], start[rest], level + 1)
+
+    def cut(self, run: np.ndarray, f: np.ndarray, at: np.ndarray, start: np.ndarray, level: int) -> None:
+        """Cuts runs by the chain's next segment but for `level` bits, every choice of bits in turn."""
+        nxt = (start + level) % len(self.ring)
+        shift, width = (np.array([x[k] for x in self.ring], np.uint64)[nxt] for k in (0, 1))
+        seg = (f >> shift) & ((np.uint64(1) << width) - np.uint64(1))
+        most = max(x[1] for x in self.ring)
+        run = np.cumsum(np.diff(run, prepend=run[:1]) != 0)
+        choices = list(combinations(range(most), min(level, most)))
+        step = max(1, ROWS // max(1, len(f)))
+        for k in range(0, len(choices), step):
+            some = choices[k : k + step]
+            clear = np.array([sum(1 << j for j in out) for out in some], np.uint64)
+            key = ((run[None, :] * len(some) + np.arange(len(some))[:, None]).astype(np.uint64) << np.uint64(most) | seg[None, :] & ~clear[:, None]).ravel()
+            order = np.argsort(key, kind="stable")
+            row = order % len(f)
+            self.runs(key[order], f[row], at[row], start[row], level)
+
+
+def _joining(bits: int, small: int, large: int) -> Callable:
+    """search(start, f, rep, run) -> (a, b): each row's link to the smallest place that links reach among these rows."""
+
+    def search(start: np.ndarray, f: np.ndarray, rep: np.ndarray, run: np.ndarray) -> Iterator[pa.RecordBatch]:
+        joined = Joined(len(f))
+
+        def long(f: np.ndarray, at: np.ndarray, s: int) -> None:
+            """Rows out of the commonest component are compared with all, until none is left."""
+            done, step = np.zeros(len(f), bool), max(1, (1 << 18) // len(f))
+            while True:
+                of = joined.settle()[at]
+                names, counts = np.unique(of, return_counts=True)
+                left = np.flatnonzero((of != names[counts.argmax()]) & ~done)[:step]
+                if not len(left):
+                    return
+                near = (np.bitwise_count(f[left, None] ^ f[None, :]) <= bits) & (of[left, None] != of[None, :])
+                done[left] = True
+                a, b = np.nonzero(near)
+                joined.add(at[left[a]], at[b])
+
+        Ring(bits, small, large, joined.add, long).runs(run, f, np.arange(len(f)), start)
+        root = joined.settle()
+        own = np.flatnonzero(root != np.arange(len(f)))
+        if len(own):
+            yield pa.RecordBatch.from_arrays([pa.array(rep[root[own]]), pa.array(rep[own])], names=["a", "b"])
+
+    return search
+
+
+def _meeting(bits: int, small: int) -> Callable:
+    """search(start, f, rep, run) -> (run, a, b): candidates, of run -1, and the rows (run, rep, fingerprint) of long dense runs."""
+
+    def search(start: np.ndarray, f: np.ndarray, rep: np.ndarray, run: np.ndarray) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[np.ndarray, ...]] = []
+        count = [0, TaskContext.get().partitionId() << 40 if TaskContext.get() else 0]
+
+        def found(a: np.ndarray, b: np.ndarray) -> None:
+            a, b = rep[a], rep[b]
+            out.append((np.full(len(a), -1), np.minimum(a, b), np.maximum(a, b)))
+
+        def long(f: np.ndarray, at: np.ndarray, s: int) -> None:
+            order = np.argsort(rep[at], kind="stable")
+            f, at = f[order], at[order]
+            for c in range(min(CENTRES, len(f) - 1)):
+                near = c + 1 + np.flatnonzero(np.bitwise_count(f[c + 1 :] ^ f[c]) <= bits)
+                found(np.full(len(near), at[c]), at[near])
+            out.append((np.full(len(f), search.base + count[0] + count[1]), rep[at], f.view(np.int64)))
+            count[0] += 1
+
+        Ring(bits, small, 0, found, long).runs(run, f, np.arange(len(f)), start)
+        search.base += count[0]
+        if out:
+            columns = [np.concatenate(x) for x in zip(*out)]
+            pairs = columns[0] < 0
+            once = np.unique(np.stack([c[pairs] for c in columns[1:]], 1), axis=0)
+            columns = [np.concatenate(x) for x in ([np.full(len(once), -1), columns[0][~pairs]], [once[:, 0], columns[1][~pairs]], [once[:, 1], columns[2][~pairs]])]
+            for k in range(0, len(columns[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)]) for c in columns], names=["run", "a", "b"])
+
+    search.base = 0
+    return search
+
+
+def _searched(reps: DataFrame, bits: int, prints: int, make: Callable, ddl: str) -> DataFrame:
+    """What make()() yields over the rows of each key; reps: (sig array<long>, rep long)."""
     if not 0 < bits < 16:
         raise ValueError("bits must be between 1 and 15")
     ring = segments(bits)
-    names = ["key", "fp", "rep"] + ["sig"] * (most is not None)
-    ddl = "key long, fp long, rep long" + ", sig array<long>" * (most is not None)
-
-    def deal(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    domain = len(ring) * prints << max(w for _, w in ring)
+
+    def values(part: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(chain, key, fingerprint) of all rows; a key tells the print, the chain's first segment and its value."""
+        sig = part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, prints).view(np.uint64)
+        for p in range(prints):
+            f = np.ascontiguousarray(sig[:, p])
+            for k, (shift, width) in enumerate(ring):
+                seg = (f >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+                yield k, (seg.astype(np.int64) * len(ring) + k) * prints + p, f
+
+    def tally(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(domain, np.int64)
         for part in parts:
-            sig = part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, prints)
-            for p in range(prints):
-                f = np.ascontiguousarray(sig[:, p])
-                for k, (shift, width) in enumerate(ring):
-                    seg = (f.view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-                    key = (seg.astype(np.int64) * len(ring) + k) * prints + p
-                    columns = [pa.array(key), pa.array(f), part.column(1), part.column(0)]
-                    yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
-
-    def search(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key; they are searched CHUNK or more at a time, whole runs only."""
+            for _, key, _ in values(part):
+                n += np.bincount(key, minlength=domain)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["key", "n"])
 
-        def found(key, f, n, sig=None) -> Iterator[pa.RecordBatch]:
-            """Rows are named by their places until the links are thinned."""
+    named = reps.where("rep is not null").select("sig", "rep")
+    heavy = np.zeros(0, np.int64)
+    if domain <= DOMAIN:  # so at most as many keys; others have values of 21 bits or more
+        counts = named.mapInArrow(tally, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY)
+        heavy = np.sort(np.array([r["key"] for r in counts.select("key").collect()], np.int64))
 
-            def passes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-                return np.ones(len(x), bool) if sig is None else np.bitwise_count(sig[x] ^ sig[y]).sum(1, dtype=np.int64) <= most
+    def deal(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(key: np.ndarray, chain: int, f: np.ndarray, rep: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), chain, np.int32)), pa.array(f.view(np.int64)), rep], names=["key", "chain", "fp", "rep"])
 
-            def large(f: np.ndarray, at: np.ndarray, s: int) -> Iterator[np.ndarray]:
-                """A run that is long after its second segment: by the third, if it is very long, and then as a ball."""
-                if len(f) > LARGE and len(ring) > 2:
-                    yield from _cut(np.zeros(len(f), np.int64), f, at, np.full(len(f), s), 2, bits, ring, dense, passes)
-                else:
-                    yield from dense(f, at, s)
+        for part in parts:
+            for k, key, f in values(part):
+                finer = np.isin(key, heavy)
+                few = np.flatnonzero(~finer)
+                if len(few):
+                    yield batch(key[few], k, f[few], part.column(1).take(pa.array(few)))
+                if len(few) < len(key):
+                    many = np.flatnonzero(finer)
+                    shift, width = ring[(k + 1) % len(ring)]
+                    seg = (f[many] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+                    rep = part.column(1).take(pa.array(many))
+                    for j in range(width):
+                        yield batch(((key[many] * 64 + j + 1) << max(w for _, w in ring)) + (seg & ~np.uint64(1 << j)).astype(np.int64) + (1 << 62), k, f[many], rep)
 
-            def dense(f: np.ndarray, at: np.ndarray, s: int) -> Iterator[np.ndarray]:
-                order = np.argsort(n[at])  # so that keys which hold the same ball link it alike
-                if pairs := _ball(f[order], bits, lambda x, y: passes(at[order[x]], at[order[y]])):
-                    a, b = order[np.array(pairs)].T
-                    yield np.stack([at[a], at[b], np.bitwise_count(f[a] ^ f[b])], 1)
+    def search(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by key; they are searched CHUNK or more at a time, whole keys only."""
+        over = make()
 
+        def whole(key: np.ndarray, chain: np.ndarray, f: np.ndarray, rep: np.ndarray) -> Iterator[pa.RecordBatch]:
             new = np.concatenate(([True], key[1:] != key[:-1]))
             several = np.flatnonzero(~(new & np.concatenate((new[1:], [True]))))
-            run = np.cumsum(new)[several]
-            start = (key // prints % len(ring))[several]
-            out = list(_cut(run, f.view(np.uint64)[several], several, start, 1, bits, ring, large, passes)) if len(run) else []
-            if out:
-                every = np.concatenate(out)
-                pairs = _tree(np.sort(n[every[:, :2].astype(np.int64)], axis=1), every[:, 2])
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            if len(several):
+                yield from over(chain[several], f[several].view(np.uint64), rep[several], np.cumsum(new)[several])
 
         held: list[list[np.ndarray]] = []
         limit = CHUNK
         for part in parts:
-            held.append([c.to_numpy(zero_copy_only=False) for c in part.columns[:3]])
-            if most is not None:
-                held[-1].append(part.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, prints))
+            held.append([c.to_numpy(zero_copy_only=False) for c in part.columns])
             if sum(len(h[0]) for h in held) >= limit:
                 now = [np.concatenate(c) for c in zip(*held)]
                 cut = int(np.searchsorted(now[0], now[0][-1]))
                 if cut:
-                    yield from found(*(c[:cut] for c in now))
+                    yield from whole(*(c[:cut] for c in now))
                 held = [[c[cut:] for c in now]]
                 limit = max(CHUNK, 2 * len(held[0][0]))
         if held:
-            yield from found(*(np.concatenate(c) for c in zip(*held)))
+            yield from whole(*(np.concatenate(c) for c in zip(*held)))
 
-    dealt = reps.where("rep is not null").select("sig", "rep").mapInArrow(deal, ddl)
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long")
+    dealt = named.mapInArrow(deal, "key long, chain int, fp long, rep long")
+    return dealt.repartition("key").sortWithinPartitions("key", "rep", "fp").mapInArrow(search, ddl)
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4, prints: int = 1, most: int | None = None
-) -> DataFrame:
-    """(doc_id, sig, component_id) of each row; component_id is the smallest doc_id that links reach.
+def links(reps: DataFrame, bits: int = 4, prints: int = 1) -> DataFrame:
+    """(a long, b long): rows that links join, where some fingerprint is near; as many as join all that links do.
 
-    bits: how many may differ in some fingerprint of the signature; most: in all of them.
+    reps: (sig array<long>, rep long), a row for each signature; links name the rep.
     """
-    of = keep(signatures(docs, id_col, text_col, shingle, prints), "signatures")
+    small, large = SMALL, LARGE
+    return _searched(reps, bits, prints, lambda: _joining(bits, small, large), "a long, b long")
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
+    """(doc_id long, sig array<long>): the fingerprint of each row, its bits read as a signed long."""
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rows = np.array([signature(hashes(t, shingle))[0] for _, t in pairs_of([part])], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1), pa.int32()), pa.array(rows))], names=["doc_id", "sig"])
+
+    return only(docs, id_col, text_col).mapInArrow(run, "doc_id long, sig array<long>")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
+    """(doc_id, sig, component_id) of each row; component_id is the smallest doc_id that links of fingerprints reach."""
+    of = keep(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     reps = keep(of.groupBy("sig").agg(F.min("doc_id").alias("rep")), "reps")
-    found = components(links(reps, bits, prints, most))
+    found = components(links(reps, bits))
     named = reps.join(found, reps["rep"] == found["node"], "left").select("sig", F.coalesce("root", "rep").alias("component_id"))
     return of.join(named, "sig").select("doc_id", "sig", "component_id")
 
 
+def shingle_sets(docs: DataFrame, shingle: int, prints: int) -> DataFrame:
+    """(doc_id, same binary, n long, sig array<long>): of a row's distinct shingles a digest, their number and signature."""
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            sets = [np.unique(hashes(t, shingle)) for _, t in pairs_of([part])]
+            sigs = np.array([signature(h, prints) for h in sets], np.uint64).reshape(-1, prints).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * prints, pa.int32()), pa.array(sigs.ravel()))
+            keys = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), keys, pa.array([len(h) for h in sets], pa.int64()), lists], names=["doc_id", "same", "n", "sig"])
+
+    return docs.mapInArrow(run, "doc_id long, same binary, n long, sig array<long>")
+
+
+def whole_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(rep long, hashes array<long>): the distinct shingles of each row."""
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for at in range(0, part.num_rows, 256):
+                piece = part.slice(at, 256)
+                sets = [np.unique(hashes(t, shingle)).view(np.int64) for _, t in pairs_of([piece])]
+                offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+                yield pa.RecordBatch.from_arrays([piece.column(0), lists], names=["rep", "hashes"])
+
+    return docs.mapInArrow(run, "rep long, hashes array<long>")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of `least` or more."""
+    a, b = (sets.select(F.col("rep").alias(x), F.col("hashes").alias(f"of_{x}")) for x in "ab")
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    union = F.size("of_a") + F.size("of_b") - both
+    return pairs.join(a, "a").join(b, "b").where(both * least.denominator >= union * least.numerator).select("a", "b")
+
+
+def _further(rows: DataFrame, start: int, stop: int, bits: int) -> DataFrame:
+    """(a, b): of each run (run, rep, fp, root), near pairs of other roots with the rows of places start to stop."""
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, place, centres = None, 0, []
+        for part in filter(len, parts):
+            name, rep, fp, root = (c.to_numpy() for c in part.columns)
+            fp = fp.view(np.uint64)
+            edge = [*np.flatnonzero(np.diff(name, prepend=name[0] - 1)).tolist(), len(name)]
+            out = []
+            for a, z in zip(edge, edge[1:]):
+                if name[a] != now:
+                    now, place, centres = name[a], 0, []
+                for k in range(a, min(z, a + max(0, stop - place))):  # the centres come first
+                    if start <= place + k - a < stop:
+                        centres.append((place + k - a, rep[k], fp[k], root[k]))
+                at = place + np.arange(z - a)
+                for own, r, f, of in centres:
+                    near = a + np.flatnonzero((at > own) & (root[a:z] != of) & (np.bitwise_count(fp[a:z] ^ f) <= bits))
+                    out.append(np.stack([np.minimum(rep[near], r), np.maximum(rep[near], r)], 1))
+                place += z - a
+            if out:
+                pairs = np.concatenate(out)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return rows.select("run", "rep", "fp", "root").repartition("run").sortWithinPartitions("run", "rep").mapInArrow(run, "a long, b long").distinct()
+
+
+def near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 7, prints: int = 16, least: str = "0.8"
+) -> DataFrame:
+    """(doc_id, component_id) of each row of a doc_id; component_id is the smallest doc_id that near copies reach.
+
+    Candidates are texts of which one of `prints` fingerprints differs in at most `bits` bits; they are
+    near copies if their distinct shingles have a Jaccard similarity of `least` or more. In a long dense
+    run rows are compared with its first CENTRES rows, and in each further round with twice as many of
+    the following ones, but only where they are in different components so far: so n copies of each
+    other give n links or so, and no pair is left out but those that are joined already.
+    """
+    bound = Fraction(least)
+    texts = only(docs, id_col, text_col).where("doc_id is not null")
+    of = keep(shingle_sets(texts, shingle, prints), "sets")
+    reps = keep(of.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "reps")
+    small = SMALL
+    met = keep(_searched(reps, bits, prints, lambda: _meeting(bits, small), "run long, a long, b long"), "met")
+    pairs = met.where("run < 0 and a <> b").select("a", "b").distinct()
+    dense = met.where("run >= 0").select("run", F.col("a").alias("rep"), F.col("b").alias("fp"))
+    named = met.select(F.col("a").alias("doc_id")).union(met.where("run < 0").select("b")).distinct()
+    # Of rows that repeat a doc_id one is taken, the same for all pairs.
+    whole = keep(whole_sets(texts.join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), shingle), "whole")
+    found = keep(similar(pairs, whole, bound), "links")
+    labels, start, stop = keep(components(found), "labels"), CENTRES, 2 * CENTRES
+    every = [found]
+    while True:
+        rows = dense.join(labels, dense["rep"] == labels["node"], "left").withColumn("root", F.coalesce("root", "rep"))
+        open_ = rows.groupBy("run").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where((F.col("n") > start + 1) & (F.col("low") < F.col("high")))
+        left = keep(rows.join(open_.select("run"), "run").select("run", "rep", "fp", "root"), "left")
+        if left.isEmpty():
+            release(left)
+            break
+        found = keep(similar(_further(left, start, stop, bits), whole, bound), "links")
+        every.append(found)
+        before, labels = labels, keep(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)), "labels")
+        release(left, before)
+        start, stop = stop, 2 * stop
+    named = reps.join(labels, reps["rep"] == labels["node"], "left").select("same", F.coalesce("root", "rep").alias("component_id"))
+    release(met, whole, *every)
+    return of.select("doc_id", "same").join(named, "same").select("doc_id", "component_id")
+
+
 def deduplicate(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 7, prints: int = 8, most: int | None = 90
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 7, prints: int = 16, least: str = "0.8"
 ) -> DataFrame:
-    """docs without the near copies: of each component the row of the smallest doc_id stays.
+    """docs, all columns, without the near copies: of each component the row of the smallest doc_id stays.
 
-    The defaults are for a similarity of 0.8 or more: where five-word shingles have that Jaccard
-    similarity, about 15 % of the bits differ (77 of 512), and in one of eight fingerprints nearly
-    always seven bits at most. Rows of a null doc_id can't be told apart and stay; of rows that
-    repeat a doc_id all or none stay.
+    Rows of one doc_id are one document: all go or stay, but of those with one text one stays, whatever
+    else they hold. Rows of a null doc_id can't be told apart and stay.
     """
-    lost = near_duplicates(docs, id_col, text_col, shingle, bits, prints, most).where("doc_id <> component_id").select(F.col("doc_id").alias("__lost"))
-    return docs.join(lost, docs[id_col] == lost["__lost"], "left_anti")
+    of = near_copies(docs, id_col, text_col, shingle, bits, prints, least)
+    rows = of.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("root"))
+    lost = rows.where("doc_id <> root").select(F.col("doc_id").alias("__lost"))
+    kept = docs.join(lost, docs[id_col] == lost["__lost"], "left_anti")
+    twice = keep(rows.where("doc_id = root and rows > 1").select(F.col("doc_id").alias("__twice")), "twice")
+    if twice.isEmpty():
+        return kept
+    some = kept.join(twice, docs[id_col] == twice["__twice"], "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(twice, docs[id_col] == twice["__twice"], "left_anti").unionByName(some)

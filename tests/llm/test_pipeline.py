@@ -3,8 +3,8 @@ from collections import defaultdict
 import corpus_pipeline as C
 from sluice.llm import decontaminate as D
 from sluice.llm import pii_crf as P
-from sluice.llm import simhash
 from tests.llm.test_packing import check
+from tests.llm.test_simhash import brute_sets
 
 
 def test_stages_against_brute_force(spark):
@@ -22,14 +22,8 @@ def test_stages_against_brute_force(spark):
             gone = [before[i] for i in before if i not in after]
             assert all(not any(map(str.isalpha, r.text or "")) for r in gone)
         elif name == "near_copies":
-            sig = {i: simhash.signature(r.text or "", 5, 8) for i, r in before.items()}
-            up = {i: i for i in sig}
-            for a in sorted(sig):
-                for b in sorted(sig):
-                    d = [(x ^ y).bit_count() for x, y in zip(sig[a], sig[b])] if a < b else [64]
-                    if min(d) <= 7 and sum(d) <= 90:
-                        old, new = max(up[a], up[b]), min(up[a], up[b])
-                        up = {i: new if c == old else c for i, c in up.items()}
+            up, similar, found = brute_sets([(i, r.text) for i, r in before.items()])
+            assert found >= 0.9 * similar > 0
             assert set(after) == set(up.values())
             copies = defaultdict(list)
             for i, r in before.items():
