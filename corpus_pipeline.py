@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from sluice.llm.common import keep
 from sluice.llm.decontaminate import clean
 from sluice.llm.lang_gru import identified, remainder
-from sluice.llm.near_sets import without_near_copies
 from sluice.llm.packing import pack_documents
 from sluice.llm.pii_crf import redact
 from sluice.llm.queries import vocabulary
+from sluice.llm.simhash import deduplicate
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document of the smallest doc_id stays."""
-    return without_near_copies(docs, length=5, least="0.8")
+    return deduplicate(docs, shingle=5, least="0.8")
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
