@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from sluice.llm import suffix_dedup as S
@@ -39,51 +42,70 @@ def test_whole_table_against_brute_force(spark):
     assert got == want and sum(r[2] for r in want) > 1000
 
 
-@pytest.mark.parametrize("group, buffer", [(100_000, 1_500_000), (3, 60), (1, 200)])
+@pytest.mark.parametrize("group, buffer", [(150_000, 400_000), (60, 60), (3, 60), (1, 200)])
 def test_small_groups_and_buffers(spark, monkeypatch, group, buffer):
-    """Groups that are dealt again and many buffers give the same; the closures carry the patched values."""
+    """Groups that are split by longer prefixes and many buffers give the same."""
+    monkeypatch.setattr(S, "GROUP", group)
+    monkeypatch.setattr(S, "BUFFER", buffer)
     rng = random.Random(group)
     passages = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(3, 40))) for _ in range(8)]
     rows = [(k % 37 if k % 11 else None, " ".join(rng.choice(passages) if rng.random() < 0.6 else rng.choice("ghij") for _ in range(12))) for k in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    real = S._subtrees, S._local
-
-    def subtrees(parts, f=real[0]):
-        S.GROUP = group
-        yield from f(parts)
-
-    def local(held, window, prefix, f=real[1]):
-        for k in range(0, len(held), max(1, buffer // 30)):
-            yield from f(held[k : k + max(1, buffer // 30)], window, prefix)
-
-    monkeypatch.setattr(S, "_subtrees", subtrees)
-    monkeypatch.setattr(S, "_local", local)
     assert rows_of(S.remove_repeats(docs, window=9, prefix=3)) == brute(rows, 9)
 
 
-def test_overflow_rows_meet_again():
-    """The path for groups beyond memory, without a cluster."""
-    import numpy as np
-    import pyarrow as pa
+def test_prefixes_grow_until_groups_fit():
+    """All three lengths of prefix are met, no group that is held has more suffixes than it may and a batch holds, and the flags are the same."""
+    w = np.random.default_rng(0).integers(0, 3, 600).astype(np.uint64)
+    held = [(k, 0, S.mix(w[a : a + 90])) for k, a in enumerate((0, 30, 100, 30, 10, 0, 300, 290))]
+    first = pa.Table.from_batches([b for h in held for b in S._local([h], 9, 3)])
+
+    def flagged(group):
+        rows, kinds, sizes, out = first, [], [], set()
+        real = S.subtree
 
-    w = np.random.default_rng(0).integers(0, 3, 400).astype(np.uint64)
-    held = [(k, 0, S._mix(w[a : a + 60])) for k, a in enumerate((0, 30, 100, 30, 10, 0))]
-    parts = [b for h in held for b in S._local([h], 9, 3)]
-    table = pa.Table.from_batches(parts).sort_by([("kind", "ascending"), ("key", "ascending")])
+        def seen(key, *rest):
+            sizes.append(int(np.unique(key, return_counts=True)[1].max()))
+            return real(key, *rest)
 
-    def flagged(limit):
-        kept, S.GROUP = S.GROUP, limit
+        S.subtree = seen
         try:
-            out = pa.Table.from_batches(list(S._subtrees(table.to_batches(7))), schema=S.LEAVES)
+            while rows.num_rows:
+                rows = rows.sort_by([("key", "ascending")])
+                got = pa.Table.from_batches(list(S._subtrees(rows.to_batches(7), group)), schema=S.LEAVES)
+                kinds += got.column("kind").to_pylist()
+                flags = got.filter(pa.compute.equal(got.column("kind"), S.FLAG))
+                whole = got.filter(pa.compute.equal(got.column("kind"), S.WHOLE)).sort_by([(n, "ascending") for n in ("key", "stop", "doc", "start")])
+                for b in [*flags.to_batches(), *S._whole(whole.to_batches(5))]:
+                    out |= {(d, s) for d, a, z in zip(*(b.column(n).to_pylist() for n in ("doc", "start", "stop"))) for s in range(a, z)}
+                rows = got.filter(pa.compute.equal(got.column("kind"), S.LONGER))
         finally:
-            S.GROUP = kept
-        longer = out.filter(pa.compute.equal(out.column("kind"), S.LONGER)).sort_by([(n, "ascending") for n in ("key", "stop", "doc", "start")])
-        rows = [*out.filter(pa.compute.equal(out.column("kind"), S.FLAG)).to_batches(), *S._whole(longer.to_batches(5))]
-        return longer.num_rows, {(d, s) for b in rows for d, a, z in zip(*(b.column(n).to_pylist() for n in ("doc", "start", "stop"))) for s in range(a, z)}
-
-    few, want = flagged(10**6)
-    many, got = flagged(2)
-    assert few == 0 and many > 0 and got == want
+            S.subtree = real
+        return out, set(kinds), max(sizes, default=0)
+
+    want, few, whole = flagged(10**6)
+    got, many, largest = flagged(4)
+    assert few == {S.FLAG} and many == {S.FLAG, S.LONGER, S.WHOLE} and largest < 12 < whole and got == want and len(want) > 100
+
+
+def test_suffix_order_against_plain_sorting():
+    rng = np.random.default_rng(1)
+    runs = [rng.integers(0, 2, rng.integers(1, 17)).tolist() for _ in range(60)]
+    symbol = np.array(sum(runs, []))
+    joined = np.array(sum(([True] * (len(r) - 1) + [False] for r in runs), []))
+    suffix = [r[k:] for r in runs for k in range(len(r))]
+    order, common = S.suffix_order(symbol, joined)
+    assert [suffix[k] for k in order] == sorted(suffix)
+    for k in range(1, len(order)):
+        a, b = suffix[order[k - 1]], suffix[order[k]]
+        assert common[k] == next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_many_equal_rows_of_one_id_give_few_runs():
+    runs = []
+    for start, stop in sorted([(k, k + 2) for k in range(40) for _ in range(200)]):
+        S.merged(runs, start, stop)
+    assert runs == [(0, 41)]
 
 
 def test_nulls_ties_long_texts_and_clashing_names(spark):
