@@ -44,19 +44,23 @@ SMALL = 24  # runs up to this length are compared pair by pair
 LARGE = 1024  # joined runs up to this length are not cut further
 CHUNK, ROWS = 32_768, 200_000  # rows that are searched at once, and copies of them by the bits left out
 HEAVY = 65_536  # rows of a segment's value beyond which they are dealt by the second segment too
+PROBES = 4  # rows of a long run that tell whether it is dense
 CENTRES = 4  # rows of a dense run that all others are compared with at first
+ROUNDS = (64, None)  # and further on, of those that are out of its commonest component
 DOMAIN = 1 << 20  # values of segments that are counted
 
-_LOWER = np.arange(8) * 256
-_BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.int64)
+_BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.float32)
+_SALTS = np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def _ones(h: np.ndarray) -> np.ndarray:
-    """How often each of the 64 bits is set."""
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(h), 1 << 16):
-        of_byte = np.bincount((h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8) + _LOWER).ravel(), minlength=2048)
-        ones += (of_byte.reshape(8, 256) @ _BITS).ravel()
+    """(columns, 64): how often each bit is set in the columns of h (rows, columns), by a histogram of their bytes."""
+    width = h.shape[1]
+    lower = np.arange(8 * width, dtype=np.int32) * 256
+    ones = np.zeros((width, 64), np.int64)
+    for at in range(0, len(h), 1 << 12):
+        of_byte = np.bincount((h[at : at + (1 << 12)].view(np.uint8).reshape(-1, 8 * width) + lower).ravel(), minlength=2048 * width)
+        ones += np.rint(of_byte.reshape(8 * width, 256).astype(np.float32) @ _BITS).astype(np.int64).reshape(width, 64)
     return ones
 
 
@@ -71,7 +75,12 @@ def hashes(text: str, shingle: int) -> np.ndarray:
 
 def signature(h: np.ndarray, prints: int = 1) -> np.ndarray:
     """The SimHashes of shingle hashes, as unsigned 64-bit integers; the first is of the plain hashes."""
-    ones = np.stack([_ones(h if k == 0 else mix(h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))) for k in range(prints)])
+    ones = np.zeros((prints, 64), np.int64)
+    for at in range(0, len(h), 1 << 14):  # a long text's copies are not held at once
+        every = np.repeat(h[at : at + (1 << 14), None], prints, axis=1)
+        if prints > 1:
+            every[:, 1:] = mix(every[:, 1:] + _SALTS[1:prints])
+        ones += _ones(every)
     return np.packbits(2 * ones > len(h), axis=1, bitorder="little").view("<u8").ravel()
 
 
@@ -131,7 +140,8 @@ class Joined:
 class Ring:
     """The search among rows that share a chain's first segment. Places name the rows.
 
-    found(a, b) takes links; long(f, at, start) takes each run that is dense, or as short as `large`, or cut as far as can be.
+    found(a, b) takes links; long(f, at, start, level, dense) takes each run that is dense (a sixteenth of it is near a probe), or as short
+    as `large`, or cut as far as can be.
     """
 
     def __init__(self, bits: int, small: int, large: int, found: Callable, long: Callable):
@@ -161,11 +171,12 @@ class Ring:
         if not many.any():
             return
         run = np.repeat(np.arange(len(size)), size)
-        near = np.maximum(*(np.bincount(run, np.bitwise_count(f ^ f[edge[:-1] + (size * part).astype(int)][run]) <= self.bits, len(size)) for part in (0, 0.5)))
-        over = many & ((size <= self.large) | (4 * near >= size) | (level >= self.last))
+        near = [np.bincount(run, np.bitwise_count(f ^ f[edge[:-1] + size * k // PROBES][run]) <= self.bits, len(size)) for k in range(PROBES)]
+        dense = np.maximum.reduce(near) >= np.maximum(8, size / 16)
+        over = many & ((size <= self.large) | dense | (level >= self.last))
         for r in np.flatnonzero(over):
             a, b = edge[r], edge[r + 1]
-            self.long(f[a:b], at[a:b], int(start[a]))
+            self.long(f[a:b], at[a:b], int(start[a]), level, bool(dense[r]))
         rest = np.flatnonzero((many & ~over)[run])
         if len(rest):
             self.cut(run[rest], f[rest], at[rest], start[rest], level + 1)
@@ -194,7 +205,7 @@ def _joining(bits: int, small: int, large: int) -> Callable:
     def search(start: np.ndarray, f: np.ndarray, rep: np.ndarray, run: np.ndarray) -> Iterator[pa.RecordBatch]:
         joined = Joined(len(f))
 
-        def long(f: np.ndarray, at: np.ndarray, s: int) -> None:
+        def long(f: np.ndarray, at: np.ndarray, *_) -> None:
             """Rows out of the commonest component are compared with all, until none is left."""
             done, step = np.zeros(len(f), bool), max(1, (1 << 18) // len(f))
             while True:
@@ -228,7 +239,14 @@ def _meeting(bits: int, small: int) -> Callable:
             a, b = rep[a], rep[b]
             out.append((np.full(len(a), -1), np.minimum(a, b), np.maximum(a, b)))
 
-        def long(f: np.ndarray, at: np.ndarray, s: int) -> None:
+        def long(f: np.ndarray, at: np.ndarray, s: int, level: int, dense: bool) -> None:
+            """Rows around one are a run of their own. A row beyond that is near only to rows that are beyond, or nearly so: they are searched on."""
+            if dense:
+                apart = min((np.bitwise_count(f ^ f[len(f) * k // PROBES]) for k in range(PROBES)), key=lambda x: -(x <= bits).sum())
+                beyond = np.flatnonzero(apart > 2 * bits)
+                if len(beyond) > 1:
+                    ring.runs(np.zeros(len(beyond), np.int64), f[beyond], at[beyond], np.full(len(beyond), s), level)
+                f, at = f[apart <= 3 * bits], at[apart <= 3 * bits]
             order = np.argsort(rep[at], kind="stable")
             f, at = f[order], at[order]
             for c in range(min(CENTRES, len(f) - 1)):
@@ -237,7 +255,8 @@ def _meeting(bits: int, small: int) -> Callable:
             out.append((np.full(len(f), search.base + count[0] + count[1]), rep[at], f.view(np.int64)))
             count[0] += 1
 
-        Ring(bits, small, 0, found, long).runs(run, f, np.arange(len(f)), start)
+        ring = Ring(bits, small, 0, found, long)
+        ring.runs(run, f, np.arange(len(f)), start)
         search.base += count[0]
         if out:
             columns = [np.concatenate(x) for x in zip(*out)]
@@ -393,30 +412,35 @@ def similar(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(both * least.denominator >= union * least.numerator).select("a", "b")
 
 
-def _further(rows: DataFrame, start: int, stop: int, bits: int) -> DataFrame:
-    """(a, b): of each run (run, rep, fp, root), near pairs of other roots with the rows of places start to stop."""
+def _further(rows: DataFrame, most: int | None, bits: int) -> DataFrame:
+    """(a, b): in each run (run, rep, fp, root), the near pairs of other roots with the first `most` rows out of the commonest root."""
+
+    def pairs(rep: np.ndarray, f: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+        names, counts = np.unique(root, return_counts=True)
+        left = np.flatnonzero(root != names[counts.argmax()])[:most]
+        step = max(1, (1 << 18) // len(f))
+        for k in range(0, len(left), step):
+            some = left[k : k + step]
+            a, b = np.nonzero((np.bitwise_count(f[some, None] ^ f[None, :]) <= bits) & (root[some, None] != root[None, :]))
+            x, y = rep[some[a]], rep[b]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, place, centres = None, 0, []
+        held: list[list[np.ndarray]] = []
         for part in filter(len, parts):
-            name, rep, fp, root = (c.to_numpy() for c in part.columns)
-            fp = fp.view(np.uint64)
-            edge = [*np.flatnonzero(np.diff(name, prepend=name[0] - 1)).tolist(), len(name)]
-            out = []
+            now = [c.to_numpy() for c in part.columns]
+            edge = [0, *(np.flatnonzero(np.diff(now[0])) + 1).tolist(), len(now[0])]
             for a, z in zip(edge, edge[1:]):
-                if name[a] != now:
-                    now, place, centres = name[a], 0, []
-                for k in range(a, min(z, a + max(0, stop - place))):  # the centres come first
-                    if start <= place + k - a < stop:
-                        centres.append((place + k - a, rep[k], fp[k], root[k]))
-                at = place + np.arange(z - a)
-                for own, r, f, of in centres:
-                    near = a + np.flatnonzero((at > own) & (root[a:z] != of) & (np.bitwise_count(fp[a:z] ^ f) <= bits))
-                    out.append(np.stack([np.minimum(rep[near], r), np.maximum(rep[near], r)], 1))
-                place += z - a
-            if out:
-                pairs = np.concatenate(out)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                if held and held[0][0][0] != now[0][a]:
+                    yield from whole(held)
+                    held = []
+                held.append([c[a:z] for c in now])
+        if held:
+            yield from whole(held)
+
+    def whole(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        _, rep, fp, root = (np.concatenate(c) for c in zip(*held))
+        yield from pairs(rep, fp.view(np.uint64), root)
 
     return rows.select("run", "rep", "fp", "root").repartition("run").sortWithinPartitions("run", "rep").mapInArrow(run, "a long, b long").distinct()
 
@@ -428,9 +452,9 @@ def near_copies(
 
     Candidates are texts of which one of `prints` fingerprints differs in at most `bits` bits; they are
     near copies if their distinct shingles have a Jaccard similarity of `least` or more. In a long dense
-    run rows are compared with its first CENTRES rows, and in each further round with twice as many of
-    the following ones, but only where they are in different components so far: so n copies of each
-    other give n links or so, and no pair is left out but those that are joined already.
+    run rows are compared with its first CENTRES rows; then, in the ROUNDS, with some and at last with
+    all rows that are out of the run's commonest component, and only where components differ: so n
+    copies of each other give n links or so, and no pair is left out but those that are joined already.
     """
     bound = Fraction(least)
     texts = only(docs, id_col, text_col).where("doc_id is not null")
@@ -444,20 +468,19 @@ def near_copies(
     # Of rows that repeat a doc_id one is taken, the same for all pairs.
     whole = keep(whole_sets(texts.join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), shingle), "whole")
     found = keep(similar(pairs, whole, bound), "links")
-    labels, start, stop = keep(components(found), "labels"), CENTRES, 2 * CENTRES
+    labels = keep(components(found), "labels")
     every = [found]
-    while True:
+    for most in ROUNDS:
         rows = dense.join(labels, dense["rep"] == labels["node"], "left").withColumn("root", F.coalesce("root", "rep"))
-        open_ = rows.groupBy("run").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where((F.col("n") > start + 1) & (F.col("low") < F.col("high")))
+        open_ = rows.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
         left = keep(rows.join(open_.select("run"), "run").select("run", "rep", "fp", "root"), "left")
         if left.isEmpty():
             release(left)
             break
-        found = keep(similar(_further(left, start, stop, bits), whole, bound), "links")
+        found = keep(similar(_further(left, most, bits), whole, bound), "links")
         every.append(found)
         before, labels = labels, keep(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)), "labels")
         release(left, before)
-        start, stop = stop, 2 * stop
     named = reps.join(labels, reps["rep"] == labels["node"], "left").select("same", F.coalesce("root", "rep").alias("component_id"))
     release(met, whole, *every)
     return of.select("doc_id", "same").join(named, "same").select("doc_id", "component_id")
