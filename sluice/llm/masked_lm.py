@@ -1,21 +1,23 @@
 """Document scores by masked pseudo-likelihood: each word is predicted from the words on both sides.
 
-A word's probability is that of its class, given two words to the left and two to the right, times
-that of the word in its class, from each word's exact count. The commonest words are classes of
-their own, all others fall into classes by their ending. As context, the VOCABULARY commonest words
-and all that occur LEAST times or more have a code each; rarer ones share that of their ending. The
-network (a table for each of the four
-places, a tanh layer, a softmax over classes) is trained in numpy: every task makes one pass over
-the windows of all words of its documents from the same start, and the weights are averaged: a code's by
-the windows that hold it, the others by all windows. A document's score is the sum over all its words.
-
-The counts stay distributed: words without a code are joined with theirs to be scored. The model that
-is sent back holds the words of LEAST occurrences, which are far fewer than all words, and from a
-task come the weights of the codes that it met.
+Every word of the corpus has a cell of CELLS: the TOP commonest have one each, all others share the
+rest by a checksum. A network (a table for each of two places to the left and two to the right, a
+tanh layer, and two softmaxes, over the row of cells and over the place in that row) gives the
+probability of each cell in a context, and a word's is that of its cell times its share of the
+cell's exact count: a softmax by levels over the whole vocabulary, whose probabilities sum to one.
+The network is trained in numpy: every task makes one pass of Adam over the windows of all words of
+its documents from the same start, and the weights are averaged: a cell's by the windows that hold
+it, the others by all windows. So scores depend a little on how documents are dealt to tasks. A
+document's score is the sum over all its words of the logarithm of their probabilities.
+
+The counts of all words stay distributed, however many there are: words without a cell of their own
+are joined with theirs to be scored. The driver gets the TOP words, the cells' totals and the
+weights, which are of fixed size.
 
 Defined results: a null or blank text has no words and score 0; words are lower-cased in ASCII and
 split at ASCII white space; repeated rows count each and are each scored; a corpus without words
-scores all rows 0; an empty table gives an empty one.
+scores all rows 0; an empty table gives an empty one; texts are read whole, however long; among
+equally common words the lesser has a cell first; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -32,44 +34,45 @@ from pyspark.sql import functions as F
 
 from sluice.llm.common import Recent, batches, keep, only, pairs_of
 
-VOCABULARY, OWN, ENDINGS = 1024, 32, 32  # words with a code in any case; of these, with a class; classes by ending
-LEAST = 256  # words that occur so often have a code as well
+SIDE = 64  # rows of cells, and cells in a row
+CELLS, TOP = SIDE * SIDE, SIDE * SIDE // 2
+PAD = CELLS  # beyond a document's ends
 PLACES = (-2, -1, 1, 2)
-HIDDEN, BATCH, RATE = 16, 512, 0.01
+HIDDEN, RATE = 16, 0.01
+LEAST_BATCH, MOST_BATCH = 256, 4096  # windows of a step: a 128th of those that are read at once
 DISTINCT = 400_000  # words that a task counts before it hands them on
 CHUNK = 1 << 16
-PAD = VOCABULARY + ENDINGS  # beyond a document's ends; codes above it are of words from rank VOCABULARY on
+BLOCK = 256  # codes whose weights travel as one row
 
 
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
-def ending(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % ENDINGS
+def shared_cell(word: bytes) -> int:
+    """The cell of a word that has none of its own."""
+    return TOP + zlib.crc32(word) % (CELLS - TOP)
 
 
 @dataclass
 class Words:
-    """The vocabulary: codes, the class of each code, and its log-probability in the class.
+    """The words with a cell of their own, and what each cell adds to the logarithm of its words' probability.
 
-    `alone` is what to add to the logarithm of a word's own count, for the codes that words share.
+    That is 0 for a word alone, and minus the logarithm of the cell's count for others, whose own counts are added.
     """
 
     code: dict[bytes, int]
-    of: np.ndarray
     inside: np.ndarray
-    alone: np.ndarray | None = None
 
 
 def codes_of(words: Words) -> Recent:
-    """The code of each word; words without one share that of their ending."""
-    return Recent(lambda word: words.code.get(word, VOCABULARY + ending(word)), 150_000)
+    """The cell of each word."""
+    return Recent(lambda word: words.code[word] if word in words.code else shared_cell(word), 150_000)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word binary, ending int, n long) of all words of docs (doc_id, text), counted in each task first."""
-    schema = pa.schema([("word", pa.binary()), ("ending", pa.int32()), ("n", pa.int64())])
+    """(word binary, cell int, n long) of all words of docs (doc_id, text), counted in each task first; cell is the shared one."""
+    schema = pa.schema([("word", pa.binary()), ("cell", pa.int32()), ("n", pa.int64())])
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -77,84 +80,82 @@ def count_words(docs: DataFrame) -> DataFrame:
             for _, text in pairs_of(parts):
                 seen.update(words_of(text))
                 if len(seen) >= DISTINCT:
-                    yield from ((w, ending(w), n) for w, n in seen.items())
+                    yield from ((w, shared_cell(w), n) for w, n in seen.items())
                     seen.clear()
-            yield from ((w, ending(w), n) for w, n in seen.items())
+            yield from ((w, shared_cell(w), n) for w, n in seen.items())
 
         yield from batches(rows(), schema)
 
-    return docs.mapInArrow(run, "word binary, ending int, n long").groupBy("word", "ending").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "word binary, cell int, n long").groupBy("word", "cell").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(counts: DataFrame) -> Words | None:
-    """The commonest words and the classes, from exact counts of all."""
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    """The commonest words and the cells' totals, from exact counts of all."""
+    top = counts.orderBy(F.desc("n"), "word").limit(TOP).collect()
     if not top:
         return None
-    if len(top) == VOCABULARY and top[-1]["n"] >= LEAST:
-        top = counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").collect()
-    totals = {r["ending"]: (r["n"], r["types"]) for r in counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()}
-    code = {bytes(r["word"]): k if k < VOCABULARY else k + ENDINGS + 1 for k, r in enumerate(top)}
-    size = PAD + 1 + max(0, len(top) - VOCABULARY)
-    of, inside, alone = np.zeros(size, np.int64), np.full(size, -np.inf), np.zeros(size)
-    rest = {e: list(totals.get(e, (0, 0))) for e in range(ENDINGS)}
+    total = np.zeros(CELLS)
+    for r in counts.groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        total[r["cell"]] = r["n"]
     for r in top:
-        rest[r["ending"]][0] -= r["n"]
-        rest[r["ending"]][1] -= 1
-    listed = Counter()
-    for r in top[OWN:]:
-        listed[r["ending"]] += r["n"]
-    for k, (c, r) in enumerate(zip(code.values(), top)):
-        if k < OWN:
-            of[c], inside[c] = k, 0.0
-        else:
-            e = r["ending"]
-            of[c], inside[c] = OWN + e, np.log(r["n"] / (listed[e] + rest[e][0] + 1))
-    for e in range(ENDINGS):
-        n, types = rest[e]
-        of[VOCABULARY + e], inside[VOCABULARY + e] = OWN + e, np.log((n + 1) / (listed[e] + n + 1) / (types + 1))
-        alone[VOCABULARY + e] = -np.log(listed[e] + n + 1)
-    return Words(code, of, inside, alone)
+        total[r["cell"]] -= r["n"]
+    return Words({bytes(r["word"]): k for k, r in enumerate(top)}, -np.log(np.maximum(total, 1)))
 
 
 class Network:
-    """Tables (places, codes, hidden), a bias, and the softmax's weights and bias."""
+    """Tables (places, codes, hidden), a bias, the softmaxes' weights and bias, and the second's bias for each row of cells."""
 
-    def __init__(self, weights: np.ndarray | None = None, codes: int = PAD + 1):
-        classes, n = OWN + ENDINGS, codes
-        self.shapes = [(len(PLACES), n, HIDDEN), (HIDDEN,), (HIDDEN, classes), (classes,)]
+    def __init__(self, weights: np.ndarray | None = None):
+        self.shapes = [(len(PLACES), CELLS + 1, HIDDEN), (HIDDEN,), (HIDDEN, 2 * SIDE), (2 * SIDE,), (SIDE, SIDE)]
         if weights is None:
             rng = np.random.default_rng(11)
-            weights = np.concatenate([rng.normal(0, s, int(np.prod(x))) for x, s in zip(self.shapes, (0.1, 0, 0.1, 0))])
+            weights = np.concatenate([rng.normal(0, s, int(np.prod(x))) for x, s in zip(self.shapes, (0.1, 0, 0.1, 0, 0))])
         self.flat = np.array(weights, np.float32)
         cuts = np.cumsum([0, *(int(np.prod(x)) for x in self.shapes)])
-        self.tables, self.b, self.v, self.c = (self.flat[a:z].reshape(x) for a, z, x in zip(cuts, cuts[1:], self.shapes))
+        self.tables, self.b, self.v, self.c, self.pair = (self.flat[a:z].reshape(x) for a, z, x in zip(cuts, cuts[1:], self.shapes))
 
     def hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        h = np.take(self.tables[0], ids[at + PLACES[0]], axis=0) + self.b
+        h = np.take(self.tables[0], ids[at + PLACES[0]], axis=0)
+        h += self.b
         for k, place in enumerate(PLACES[1:], 1):
             h += np.take(self.tables[k], ids[at + place], axis=0)
         return np.tanh(h, out=h)
 
-    def log_classes(self, h: np.ndarray) -> np.ndarray:
+    def levels(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The logarithms of both softmaxes, the second for the given rows of cells."""
         s = h @ self.v
         s += self.c
-        s -= s.max(1, keepdims=True)
-        return s - np.log(np.exp(s).sum(1, keepdims=True))
-
-    def slopes(self, ids: np.ndarray, at: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """As gradient(): for each place's row of the tables, alike for all PLACES, and for what follows the tables."""
+        first, second = s[:, :SIDE], s[:, SIDE:]
+        second += np.take(self.pair, row, axis=0)
+        for x in (first, second):
+            x -= x.max(1, keepdims=True)
+            x -= np.log(np.exp(x).sum(1, keepdims=True))
+        return first, second
+
+    def log_cells(self, h: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        row, place = np.divmod(cell, SIDE)
+        first, second = self.levels(h, row)
+        n = np.arange(len(cell))
+        return first[n, row] + second[n, place]
+
+    def slopes(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the mean negative log-likelihood: for each place's row of the tables, alike for all PLACES, and for what follows the tables."""
         h = self.hidden(ids, at)
-        p = np.exp(self.log_classes(h))
-        p[np.arange(len(at)), of] -= 1
-        p /= len(at)
+        row, place = np.divmod(ids[at], SIDE)
+        p = np.exp(np.concatenate(self.levels(h, row), 1))
+        n = np.arange(len(at))
+        p[n, row] -= 1
+        p[n, SIDE + place] -= 1
+        p /= np.float32(len(at))
+        of = np.zeros((SIDE, len(at)), np.float32)
+        of[row, n] = 1
         d = (p @ self.v.T) * (1 - h * h)
-        return d, np.concatenate([d.sum(0), (h.T @ p).ravel(), p.sum(0)])
+        return d, np.concatenate([d.sum(0), (h.T @ p).ravel(), p.sum(0), (of @ p[:, SIDE:]).ravel()])
 
-    def gradient(self, ids: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """Of the mean negative log-likelihood of the classes `of` at the places `at`."""
-        out = Network(np.zeros_like(self.flat), self.tables.shape[1])
-        d, out.flat[self.tables.size :] = self.slopes(ids, at, of)
+    def gradient(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The same as one vector."""
+        out = Network(np.zeros_like(self.flat))
+        d, out.flat[self.tables.size :] = self.slopes(ids, at)
         for k, place in enumerate(PLACES):
             np.add.at(out.tables[k], ids[at + place], d)
         return out.flat
@@ -163,9 +164,9 @@ class Network:
 class Trainer:
     """One pass of Adam from the common start; rows of the tables move when they are met."""
 
-    def __init__(self, codes: int = PAD + 1):
-        self.net, self.steps, self.windows = Network(codes=codes), 0, 0
-        self.met = np.zeros(codes, np.int64)  # in how many places of windows each code was
+    def __init__(self):
+        self.net, self.steps, self.windows = Network(), 0, 0
+        self.met = np.zeros(CELLS + 1, np.int64)  # in how many places of windows each code was
         self.first, self.second = np.zeros_like(self.net.flat), np.zeros_like(self.net.flat)
         cut = self.net.tables.size
         self.rows = [x[:cut].reshape(-1, HIDDEN) for x in (self.net.flat, self.first, self.second)]
@@ -179,16 +180,15 @@ class Trainer:
         first[which], second[which] = m, v
         w[which] -= np.float32(RATE / (1 - 0.9**self.steps)) * m / (np.sqrt(v * np.float32(1 / (1 - 0.99**self.steps))) + np.float32(1e-8))
 
-    def __call__(self, ids: np.ndarray, at: np.ndarray, of: np.ndarray) -> None:
-        d, rest = self.net.slopes(ids, at, of)
+    def __call__(self, ids: np.ndarray, at: np.ndarray) -> None:
+        d, rest = self.net.slopes(ids, at)
         self.steps += 1
         self.windows += len(at)
-        n = len(self.met)
-        row = np.concatenate([ids[at + place] + k * n for k, place in enumerate(PLACES)])
-        order = np.argsort(row, kind="stable")
-        edge = np.flatnonzero(np.diff(row[order], prepend=-1))
-        which = row[order[edge]]
-        np.add.at(self.met, which % n, np.diff(edge, append=len(row)))
+        row = np.concatenate([ids[at + place] + k * (CELLS + 1) for k, place in enumerate(PLACES)]).astype(np.uint16)
+        order = np.argsort(row, kind="stable")  # by radix
+        edge = np.flatnonzero(np.diff(row[order].astype(np.int32), prepend=-1))
+        which = row[order[edge]].astype(np.int64)
+        np.add.at(self.met, which % (CELLS + 1), np.diff(edge, append=len(row)))
         self.move(self.rows, which, np.add.reduceat(d[order % len(at)], edge, axis=0))
         self.move(self.rest, slice(None), rest)
 
@@ -220,49 +220,55 @@ def targets(ids: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, words: Words) -> Network:
     """The averaged network of all tasks."""
-    codes = len(words.of)
-    schema, ddl = pa.schema([("code", pa.int64()), ("n", pa.int64()), ("weights", pa.binary())]), "code long, n long, weights binary"
+    schema, ddl = pa.schema([("block", pa.int32()), ("n", pa.binary()), ("weights", pa.binary())]), "block int, n binary, weights binary"
 
     def fit(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows of the tables of each code that was met, and under -1 what follows the tables."""
-        step, rng = Trainer(codes), np.random.default_rng(3)
+        """The sums of each block of codes, weighted by how often these were met, and under -1 of what follows the tables."""
+        step, rng = Trainer(), np.random.default_rng(3)
         for _, ids, _, _ in coded(parts, words):
             at = targets(ids)
             rng.shuffle(at)
-            for k in range(0, len(at), BATCH):
-                step(ids, at[k : k + BATCH], words.of[ids[at[k : k + BATCH]]])
+            size = min(MOST_BATCH, max(LEAST_BATCH, len(at) // 128))
+            for k in range(0, len(at), size):
+                step(ids, at[k : k + size])
         if step.windows:
-            met = np.flatnonzero(step.met).tolist()
-            yield from batches(((c, int(step.met[c]), step.net.tables[:, c].tobytes()) for c in met), schema)
-            yield from batches([(-1, step.windows, step.rest[0].tobytes())], schema)
+            blocks = [(-1, np.array([step.windows], np.float64), step.rest[0][None, :])]
+            for k in range(0, CELLS + 1, BLOCK):
+                if step.met[k : k + BLOCK].any():
+                    blocks.append((k, step.met[k : k + BLOCK].astype(np.float64), np.moveaxis(step.net.tables[:, k : k + BLOCK], 0, 1).reshape(-1, len(PLACES) * HIDDEN)))
+            yield from batches(((k, n.tobytes(), (w * n[:, None]).astype(np.float32).tobytes()) for k, n, w in blocks), schema, 4)
 
     def add(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, tuple] = {}
+        total: dict[int, list[np.ndarray]] = {}
         for part in parts:
-            for c, n, raw in zip(*(x.to_pylist() for x in part.columns)):
-                m, w = total.get(c, (0, 0.0))
-                total[c] = m + n, w + np.frombuffer(raw, np.float32) * float(n)
-        yield from batches(((c, n, (w / n).astype(np.float32).tobytes()) for c, (n, w) in total.items()), schema)
-
-    net = Network(codes=codes)
-    got = docs.mapInArrow(fit, ddl).repartition("code").mapInArrow(add, ddl).toArrow()
-    for c, raw in zip(got.column("code").to_pylist(), got.column("weights").to_pylist()):
-        w = np.frombuffer(raw, np.float32)
-        if c < 0:
-            net.flat[net.tables.size :] = w
+            for k, n, w in zip(*(x.to_pylist() for x in part.columns)):
+                of = total.setdefault(k, [np.zeros(len(n) // 8), np.zeros(len(w) // 4)])
+                of[0] += np.frombuffer(n)
+                of[1] += np.frombuffer(w, np.float32)
+        yield from batches(((k, n.tobytes(), w.astype(np.float32).tobytes()) for k, (n, w) in total.items()), schema, 4)
+
+    net = Network()
+    # Sums of each task's neighbours first, so that no task adds up a block of all.
+    some = docs.mapInArrow(fit, ddl).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32))).repartition("block", "salt").select("block", "n", "weights").mapInArrow(add, ddl)
+    for k, n, raw in some.repartition("block").mapInArrow(add, ddl).toLocalIterator():
+        of = np.frombuffer(n)
+        w = np.frombuffer(raw, np.float32).reshape(len(of), -1) / np.maximum(of, 1)[:, None]
+        if k < 0:
+            net.flat[net.tables.size :] = w[0]
         else:
-            net.tables[:, c] = w.reshape(len(PLACES), HIDDEN)
+            met = np.flatnonzero(of)
+            net.tables[:, k + met] = np.moveaxis(w[met].reshape(len(met), len(PLACES), HIDDEN), 1, 0)
     return net
 
 
 def log_likelihoods(net: Network, words: Words, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The sum of each document's conditional log-probabilities."""
+    """The sum of each document's conditional log-probabilities, but for the logarithms of the counts of words that share a cell."""
     at = np.flatnonzero(ids != PAD)
     score = np.empty(len(at))
-    for k in range(0, len(at), CHUNK):
-        some = at[k : k + CHUNK]
-        p = net.log_classes(net.hidden(ids, some))
-        score[k : k + CHUNK] = p[np.arange(len(some)), words.of[ids[some]]] + words.inside[ids[some]]
+    for k in range(0, len(at), CHUNK // 4):
+        some = at[k : k + CHUNK // 4]
+        cell = ids[some]
+        score[k : k + len(some)] = net.log_cells(net.hidden(ids, some), cell) + words.inside[cell]
     return np.bincount(np.repeat(np.arange(len(sizes)), sizes), score, len(sizes))
 
 
@@ -275,14 +281,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         zero = F.lit(0.0)
         return texts.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), zero.alias("log_prob"), zero.alias("per_token"))
     net = train(texts, words)
-    shared = np.zeros(len(words.of), bool)
-    shared[VOCABULARY:PAD] = True
-    known = Words(words.code, words.of, np.where(shared, words.alone, words.inside))
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Scores but for the logarithms of the counts of words without a code; these words with how often they occur."""
-        for ids, codes, sizes, texts in coded(parts, known):
-            total, rare = log_likelihoods(net, known, codes, sizes), shared[codes[codes != PAD]]
+        """Scores but for the logarithms of the counts of words that share a cell; these words with how often they occur."""
+        for ids, codes, sizes, texts in coded(parts, words):
+            total, rare = log_likelihoods(net, words, codes, sizes), codes[codes != PAD] >= TOP
             ends = np.cumsum(sizes).tolist()
             found = [Counter(t[k] for k in np.flatnonzero(rare[z - len(t) : z]).tolist()) for t, z in zip(texts, ends)]
             offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())

@@ -8,29 +8,41 @@ from sluice.llm import masked_lm as M
 from sluice.llm.queries import op5_masked_likelihood
 
 
-def test_counts_and_classes_against_brute_force(spark, sf):
+def test_counts_and_cells_against_brute_force(spark, sf):
+    """All counts, the commonest words, and shares of each cell that sum to one."""
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = Counter(w for t in texts for w in M.words_of(t or ""))
     counts = M.count_words(M.only(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text"))
     assert {bytes(r.word): r.n for r in counts.collect()} == want
     words = M.vocabulary(counts)
-    top = sorted(want, key=lambda w: (-want[w], w))[: M.VOCABULARY]
-    assert list(words.code) == top
-    for c in range(M.OWN + M.ENDINGS):  # each class's words share nearly all of it
-        own = [math.exp(words.inside[k]) for k in range(M.VOCABULARY) if words.of[k] == c]
-        rare = [w for w in want if w not in words.code and c >= M.OWN and M.ending(w) == c - M.OWN]
-        total = sum(own) + len(rare) * (math.exp(words.inside[M.VOCABULARY + c - M.OWN]) if rare else 0)
-        assert 0.9 < total <= 1 + 1e-9 or sum(want[w] for w in rare) < 20
+    top = sorted(want, key=lambda w: (-want[w], w))[: M.TOP]
+    assert list(words.code) == top and len(want) > M.TOP
+    share = Counter()
+    for w, n in want.items():
+        cell = words.code.get(w, M.shared_cell(w))
+        share[cell] += math.exp(words.inside[cell]) * (1 if w in words.code else n)
+    assert len(share) > M.TOP and all(abs(x - 1) < 1e-9 for x in share.values())
+
+
+def test_probabilities_of_all_cells_sum_to_one():
+    net, rng = M.Network(), np.random.default_rng(5)
+    net.flat += rng.normal(0, 0.5, net.flat.shape).astype(np.float32)
+    h = net.hidden(np.array([M.PAD, M.PAD, 3, 9, M.PAD, M.PAD]), np.array([2]))
+    total = np.exp(net.log_cells(np.repeat(h, M.CELLS, 0), np.arange(M.CELLS)), dtype=np.float64).sum()
+    assert abs(total - 1) < 1e-3
 
 
 def test_gradient_against_differences():
     rng = np.random.default_rng(0)
     net = M.Network()
-    ids = np.concatenate([[M.PAD] * 2, rng.integers(0, 5, 12), [M.PAD] * 2])
-    at, of = np.arange(2, 14), rng.integers(0, 60, 12)
-    loss = lambda: -net.log_classes(net.hidden(ids, at))[np.arange(12), of].mean(dtype=np.float64)
-    g = net.gradient(ids, at, of)
-    for k in [*np.argsort(-np.abs(g))[:6], *(int(x) for x in rng.integers(0, len(g), 3))]:
+    net.flat += rng.normal(0, 0.2, net.flat.shape).astype(np.float32)
+    ids = np.concatenate([[M.PAD] * 2, rng.integers(0, 300, 12), [M.PAD] * 2])
+    at = np.arange(2, 14)
+    loss = lambda: -net.log_cells(net.hidden(ids, at), ids[at]).mean(dtype=np.float64)
+    g = net.gradient(ids, at)
+    starts = np.cumsum([0, *(int(np.prod(x)) for x in net.shapes)])
+    largest = [int(a + np.abs(g[a:z]).argmax()) for a, z in zip(starts, starts[1:])]
+    for k in [*largest, *np.argsort(-np.abs(g))[:6], *(int(x) for x in rng.integers(0, len(g), 3))]:
         kept = net.flat[k]
         net.flat[k] = kept + 1e-2
         up = loss()
@@ -47,39 +59,35 @@ def test_every_word_is_trained_on():
 
 def test_scores_against_a_plain_loop_and_both_sides_count():
     rng = np.random.default_rng(1)
-    words = M.Words({b"a": 0, b"b": 1}, np.arange(M.PAD + 1) % (M.OWN + M.ENDINGS), rng.normal(size=M.PAD + 1))
+    words = M.Words({b"a": 0, b"b": 1}, rng.normal(size=M.CELLS))
     net = M.Network()
     net.flat += rng.normal(0, 0.3, net.flat.shape).astype(np.float32)
-    docs = [[0, 1, 1, M.VOCABULARY + 3], [], [1], [0] * 7]
+    docs = [[0, 1, 1, M.TOP + 3], [], [1], [0] * 7]
     flat = np.array([x for d in docs for x in ([M.PAD] * 2 + d)] + [M.PAD] * 2)
     got = M.log_likelihoods(net, words, flat, np.array([len(d) for d in docs]))
     for d, total in zip(docs, got):
         padded, want = [M.PAD] * 2 + d + [M.PAD] * 2, 0.0
         for k, w in enumerate(d, 2):
             h = np.tanh(sum(net.tables[j][padded[k + p]] for j, p in enumerate(M.PLACES)) + net.b)
-            s = h @ net.v + net.c
-            want += s[words.of[w]] - math.log(np.exp(s).sum()) + words.inside[w]
+            s = (h @ net.v + net.c).astype(float)
+            row, place = divmod(w, M.SIDE)
+            first, second = s[: M.SIDE], s[M.SIDE :] + net.pair[row]
+            want += first[row] - math.log(np.exp(first).sum()) + second[place] - math.log(np.exp(second).sum()) + words.inside[w]
         assert abs(total - want) < 1e-3
 
 
-def test_words_beyond_the_vocabulary_keep_their_counts(spark):
-    """Two words of one ending in the same context differ by their own counts."""
-    common = " ".join(f"c{k}" for k in range(M.VOCABULARY))
-    rows = [(k, common) for k in range(60)] + [(100 + k, "c1 c2 ofteng c3 c4") for k in range(50)] + [(200, "c1 c2 rareng c3 c4"), (200, "c1 c2 rareng c3 c4")]
+def test_words_that_share_a_cell_keep_their_counts(spark):
+    """Two words of one cell in the same context differ by their own counts."""
+    common = " ".join(f"c{k}" for k in range(M.TOP))
+    often = "often"
+    rare = next(w for w in (f"r{k}" for k in range(10**6)) if M.shared_cell(w.encode()) == M.shared_cell(often.encode()))
+    rows = [(k, common) for k in range(60)] + [(100 + k, f"c1 c2 {often} c3 c4") for k in range(50)] + [(200, f"c1 c2 {rare} c3 c4"), (200, f"c1 c2 {rare} c3 c4")]
     got = {}
     for r in M.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
         got.setdefault(r.doc_id, []).append(r.log_prob)
     assert len(got[200]) == 2 and all(abs(got[100][0] - x - math.log(50 / 2)) < 1e-4 for x in got[200])
 
 
-def test_vocabulary_grows_with_the_corpus(spark):
-    n = M.VOCABULARY + 80
-    rows = [(b"w%d" % k, M.ending(b"w%d" % k), M.LEAST + n - k) for k in range(n)] + [(b"few", M.ending(b"few"), M.LEAST - 1)]
-    words = M.vocabulary(spark.createDataFrame(rows, "word binary, ending int, n long"))
-    assert len(words.code) == n and b"few" not in words.code
-    assert len({*words.code.values()} - set(range(M.VOCABULARY, M.PAD + 1))) == n and max(words.code.values()) == len(words.of) - 1
-
-
 def test_text_in_order_scores_higher_than_shuffled(spark):
     rng = random.Random(2)
     follow = {w: rng.sample(range(40), 3) for w in range(40)}
