@@ -2,7 +2,7 @@
 
 Every word of the corpus has a cell of CELLS: the TOP commonest have one each, all others share the
 rest by a checksum. A network (a table for each of two places to the left and two to the right, a
-tanh layer, and two softmaxes, over the row of cells and over the place in that row) gives the
+tanh layer, and a softmax for each of the three digits of a cell, given those before) gives the
 probability of each cell in a context, and a word's is that of its cell times its share of the
 cell's exact count: a softmax by levels over the whole vocabulary, whose probabilities sum to one.
 The network is trained in numpy: every task makes one pass of Adam over the windows of all words of
@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 
 from sluice.llm.common import Recent, batches, keep, only, pairs_of
 
-SIDE = 64  # rows of cells, and cells in a row
-CELLS, TOP = SIDE * SIDE, SIDE * SIDE // 2
+SIDE = 16  # values of a cell's digit
+CELLS, TOP = SIDE**3, SIDE**3 // 2
 PAD = CELLS  # beyond a document's ends
 PLACES = (-2, -1, 1, 2)
-HIDDEN, RATE = 16, 0.01
-LEAST_BATCH, MOST_BATCH = 256, 4096  # windows of a step: a 128th of those that are read at once
+HIDDEN, RATE = 16, 0.015
+LEAST_BATCH, MOST_BATCH = 256, 4096  # windows of a step: a 64th of those that are read at once
 DISTINCT = 400_000  # words that a task counts before it hands them on
 CHUNK = 1 << 16
 BLOCK = 256  # codes whose weights travel as one row
@@ -103,16 +103,16 @@ def vocabulary(counts: DataFrame) -> Words | None:
 
 
 class Network:
-    """Tables (places, codes, hidden), a bias, the softmaxes' weights and bias, and the second's bias for each row of cells."""
+    """Tables (places, codes, hidden), a bias, the softmaxes' weights and bias, and what the digits before add to the second and third."""
 
     def __init__(self, weights: np.ndarray | None = None):
-        self.shapes = [(len(PLACES), CELLS + 1, HIDDEN), (HIDDEN,), (HIDDEN, 2 * SIDE), (2 * SIDE,), (SIDE, SIDE)]
+        self.shapes = [(len(PLACES), CELLS + 1, HIDDEN), (HIDDEN,), (3 * SIDE, HIDDEN), (3 * SIDE,), (SIDE, SIDE), (SIDE * SIDE, SIDE)]
         if weights is None:
             rng = np.random.default_rng(11)
-            weights = np.concatenate([rng.normal(0, s, int(np.prod(x))) for x, s in zip(self.shapes, (0.1, 0, 0.1, 0, 0))])
+            weights = np.concatenate([rng.normal(0, s, int(np.prod(x))) for x, s in zip(self.shapes, (0.1, 0, 0.1, 0, 0, 0))])
         self.flat = np.array(weights, np.float32)
         cuts = np.cumsum([0, *(int(np.prod(x)) for x in self.shapes)])
-        self.tables, self.b, self.v, self.c, self.pair = (self.flat[a:z].reshape(x) for a, z, x in zip(cuts, cuts[1:], self.shapes))
+        self.tables, self.b, self.v, self.c, self.two, self.three = (self.flat[a:z].reshape(x) for a, z, x in zip(cuts, cuts[1:], self.shapes))
 
     def hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         h = np.take(self.tables[0], ids[at + PLACES[0]], axis=0)
@@ -121,36 +121,34 @@ class Network:
             h += np.take(self.tables[k], ids[at + place], axis=0)
         return np.tanh(h, out=h)
 
-    def levels(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The logarithms of both softmaxes, the second for the given rows of cells."""
-        s = h @ self.v
-        s += self.c
-        first, second = s[:, :SIDE], s[:, SIDE:]
-        second += np.take(self.pair, row, axis=0)
-        for x in (first, second):
-            x -= x.max(1, keepdims=True)
-            x -= np.log(np.exp(x).sum(1, keepdims=True))
-        return first, second
+    def digits(self, h: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """(3, SIDE, places): the softmaxes' inputs, less their maxima, for each digit of the cells given those before."""
+        s = (self.v @ h.T + self.c[:, None]).reshape(3, SIDE, -1)
+        s[1] += np.take(self.two.T, cell // (SIDE * SIDE), axis=1)
+        s[2] += np.take(self.three.T, cell // SIDE, axis=1)
+        s -= s.max(1, keepdims=True)
+        return s
 
     def log_cells(self, h: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        row, place = np.divmod(cell, SIDE)
-        first, second = self.levels(h, row)
+        s = self.digits(h, cell)
         n = np.arange(len(cell))
-        return first[n, row] + second[n, place]
+        own = sum(s[k, cell // SIDE ** (2 - k) % SIDE, n] for k in range(3))
+        return own - np.log(np.exp(s, out=s).sum(1)).sum(0)
 
     def slopes(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the mean negative log-likelihood: for each place's row of the tables, alike for all PLACES, and for what follows the tables."""
         h = self.hidden(ids, at)
-        row, place = np.divmod(ids[at], SIDE)
-        p = np.exp(np.concatenate(self.levels(h, row), 1))
-        n = np.arange(len(at))
-        p[n, row] -= 1
-        p[n, SIDE + place] -= 1
+        cell, n = ids[at], np.arange(len(at))
+        p = self.digits(h, cell)
+        np.exp(p, out=p)
+        p /= p.sum(1, keepdims=True)
+        for k in range(3):
+            p[k, cell // SIDE ** (2 - k) % SIDE, n] -= 1
         p /= np.float32(len(at))
-        of = np.zeros((SIDE, len(at)), np.float32)
-        of[row, n] = 1
-        d = (p @ self.v.T) * (1 - h * h)
-        return d, np.concatenate([d.sum(0), (h.T @ p).ravel(), p.sum(0), (of @ p[:, SIDE:]).ravel()])
+        every = p.reshape(3 * SIDE, -1)
+        d = (every.T @ self.v) * (1 - h * h)
+        two, three = _sums(cell // (SIDE * SIDE), p[1].T, SIDE), _sums(cell // SIDE, p[2].T, SIDE * SIDE)
+        return d, np.concatenate([d.sum(0), (every @ h).ravel(), every.sum(1), two.ravel(), three.ravel()])
 
     def gradient(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The same as one vector."""
@@ -161,6 +159,12 @@ class Network:
         return out.flat
 
 
+def _sums(of: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
+    """(size, columns): the sums of the rows of x by the numbers in `of`."""
+    width = x.shape[1]
+    return np.bincount((of[:, None] * width + np.arange(width)).ravel(), x.ravel(), size * width).reshape(size, width).astype(np.float32)
+
+
 class Trainer:
     """One pass of Adam from the common start; rows of the tables move when they are met."""
 
@@ -184,12 +188,11 @@ class Trainer:
         d, rest = self.net.slopes(ids, at)
         self.steps += 1
         self.windows += len(at)
-        row = np.concatenate([ids[at + place] + k * (CELLS + 1) for k, place in enumerate(PLACES)]).astype(np.uint16)
-        order = np.argsort(row, kind="stable")  # by radix
-        edge = np.flatnonzero(np.diff(row[order].astype(np.int32), prepend=-1))
-        which = row[order[edge]].astype(np.int64)
-        np.add.at(self.met, which % (CELLS + 1), np.diff(edge, append=len(row)))
-        self.move(self.rows, which, np.add.reduceat(d[order % len(at)], edge, axis=0))
+        row = np.concatenate([ids[at + place] + k * (CELLS + 1) for k, place in enumerate(PLACES)])
+        times = np.bincount(row, minlength=len(self.rows[0]))
+        self.met += times.reshape(len(PLACES), -1).sum(0)
+        which = np.flatnonzero(times)
+        self.move(self.rows, which, _sums(row, np.tile(d, (len(PLACES), 1)), len(times))[which])
         self.move(self.rest, slice(None), rest)
 
 
@@ -228,7 +231,7 @@ def train(docs: DataFrame, words: Words) -> Network:
         for _, ids, _, _ in coded(parts, words):
             at = targets(ids)
             rng.shuffle(at)
-            size = min(MOST_BATCH, max(LEAST_BATCH, len(at) // 128))
+            size = min(MOST_BATCH, max(LEAST_BATCH, len(at) // 64))
             for k in range(0, len(at), size):
                 step(ids, at[k : k + size])
         if step.windows:

@@ -69,10 +69,11 @@ def test_scores_against_a_plain_loop_and_both_sides_count():
         padded, want = [M.PAD] * 2 + d + [M.PAD] * 2, 0.0
         for k, w in enumerate(d, 2):
             h = np.tanh(sum(net.tables[j][padded[k + p]] for j, p in enumerate(M.PLACES)) + net.b)
-            s = (h @ net.v + net.c).astype(float)
-            row, place = divmod(w, M.SIDE)
-            first, second = s[: M.SIDE], s[M.SIDE :] + net.pair[row]
-            want += first[row] - math.log(np.exp(first).sum()) + second[place] - math.log(np.exp(second).sum()) + words.inside[w]
+            s = (net.v @ h + net.c).astype(float).reshape(3, M.SIDE)
+            s[1] += net.two[w // M.SIDE**2]
+            s[2] += net.three[w // M.SIDE]
+            digits = [w // M.SIDE**2, w // M.SIDE % M.SIDE, w % M.SIDE]
+            want += sum(x[d] - math.log(np.exp(x).sum()) for x, d in zip(s, digits)) + words.inside[w]
         assert abs(total - want) < 1e-3
 
 
