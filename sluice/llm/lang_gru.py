@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.common import only, pairs_of, where_texts
@@ -30,7 +30,7 @@ PER_LANG = 256  # labelled documents of a language that are learned from, at mos
 WINDOWS = 6  # windows of each
 BLOCK = 4096  # windows that are read at once
 STEPS, BATCH, RATE = 160, 192, 0.02
-LANGS = 1000  # more labels than this are no languages
+LANGS = 1000  # labels that are learned, the commonest
 
 
 @dataclass
@@ -170,9 +170,7 @@ def _sample(docs: DataFrame, learnable: Column, per_lang: int) -> list[tuple[str
     """Windows of at most per_lang labelled documents of each language, drawn by a hash of the id."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"), learnable.alias("use"))
     rows = rows.where("use and lang is not null and text is not null").withColumn("drawn", F.expr("pmod(xxhash64(doc_id), 1048576)"))
-    counts = rows.groupBy("lang").count().limit(LANGS + 1).collect()
-    if len(counts) > LANGS:
-        raise ValueError(f"more than {LANGS} languages")
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
     if not counts:
         return []
     most = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * per_lang / r["count"]) * 1048576)])
@@ -189,7 +187,9 @@ def _sample(docs: DataFrame, learnable: Column, per_lang: int) -> list[tuple[str
                 lang, drawn, windows = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(drawn, pa.int64()), pa.array(windows, pa.list_(pa.binary()))], names=["lang", "drawn", "windows"])
 
-    drawn = rows.where(F.col("drawn") < most[F.col("lang")]).mapInArrow(cut, "lang string, drawn long, windows array<binary>").collect()
+    drawn = rows.where(F.col("drawn") < most[F.col("lang")]).mapInArrow(cut, "lang string, drawn long, windows array<binary>")
+    first = Window.partitionBy("lang").orderBy("drawn", "windows")  # rows that repeat an id are drawn alike, however many
+    drawn = drawn.withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_lang).collect()
     by: dict[str, list] = defaultdict(list)
     for r in sorted(drawn, key=lambda r: (r.lang, r.drawn, r.windows)):
         by[r.lang].append(r.windows)
@@ -232,10 +232,12 @@ def identify(docs: DataFrame, learnable: Column, per_lang: int = PER_LANG) -> Da
 def identified(docs: DataFrame, learnable: Column, margin: float = 0.05) -> DataFrame:
     """The rows of docs, all columns, whose language is known: not `und`, and likelier than a blind guess by the margin.
 
-    Where no row is labelled nothing can be learned, and all rows are rejected.
+    Where no row is labelled nothing can be learned, and all rows pass unjudged.
     """
     net = train(_sample(docs, learnable, PER_LANG))
-    least = min(0.99, 1 / len(net.langs) + margin) if net else 1.0
+    if net is None:
+        return docs
+    least = min(0.99, 1 / len(net.langs) + margin)
 
     def judge():
         return lambda texts: [lang != UND and score >= least for lang, score in zip(*predict(net, texts))]

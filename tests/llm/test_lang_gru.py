@@ -57,3 +57,29 @@ def test_nulls_letterless_extra_columns_and_empty(spark):
     assert got == sorted([("1", "en"), ("2", "und"), ("3", "und"), ("4", "und"), ("5", "de"), ("5", "de"), ("None", "en")])
     assert {r.lang_pred for r in L.identify(docs, F.lit(False)).collect()} == {"und"}
     assert L.identify(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_rows_of_the_stage_with_odd_input(spark):
+    """Nulls, empty and long texts, repeats, clashing names; no labels; more labels than are learned; an empty table."""
+    rows = [(k, ("the cat and the dog " if k % 2 else "der hund und die katze ") * 5, "en" if k % 2 else "de", k) for k in range(40)]
+    odd = [(100, None, "en", 1), (101, "", None, 2), (102, "12 34", "de", 3), (None, "the dog and the cat and the", None, 4), (104, "the cat " * 30000, "en", 5), (1, rows[1][1], "en", 1)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, score int")
+    kept = L.identified(docs, L.remainder(docs["doc_id"]) != 2)
+    assert kept.columns == docs.columns
+    got = [r.doc_id for r in kept.collect()]
+    assert not {100, 101, 102} & set(got) and {None, 104} <= set(got) and got.count(1) == 2 and len(got) == 43
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert L.identified(unlabelled, L.remainder(unlabelled["doc_id"]) != 2).count() == 46
+    assert L.identified(docs.limit(0), L.remainder(docs["doc_id"]) != 2).count() == 0
+
+
+def test_more_labels_than_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(L, "LANGS", 2)
+    rows = [(k, f"text {k} of it", ["aa", "aa", "bb", "cc"][k % 4]) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {lang for lang, _ in L._sample(docs, F.lit(True), 8)} == {"aa", "bb"}
+
+
+def test_repeated_ids_are_drawn_up_to_the_bound(spark):
+    docs = spark.createDataFrame([(7, "one text of one id", "en")] * 300, "doc_id long, text string, lang string")
+    assert len(L._sample(docs, F.lit(True), 8)) in (0, 8)
