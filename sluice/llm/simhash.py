@@ -46,6 +46,7 @@ CHUNK, ROWS = 32_768, 200_000  # rows that are searched at once, and copies of t
 HEAVY = 65_536  # rows of a segment's value beyond which they are dealt by the second segment too
 PROBES = 4  # rows of a long run that tell whether it is dense
 CENTRES = 4  # rows of a dense run that all others are compared with at first
+WHOLE = 0.205  # of all bits of two signatures that may differ there: at a similarity of 0.8 the mean is 0.1515, its deviation 0.0112
 ROUNDS = (64, None)  # and further on, of those that are out of its commonest component
 DOMAIN = 1 << 20  # values of segments that are counted
 
@@ -412,23 +413,27 @@ def similar(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(both * least.denominator >= union * least.numerator).select("a", "b")
 
 
-def _further(rows: DataFrame, most: int | None, bits: int) -> DataFrame:
-    """(a, b): in each run (run, rep, fp, root), the near pairs of other roots with the first `most` rows out of the commonest root."""
+def _further(rows: DataFrame, most: int | None, bits: int, prints: int) -> DataFrame:
+    """(a, b): in each run (run, rep, fp, root, sig), the near pairs of other roots with the first `most` rows out of the commonest root."""
 
-    def pairs(rep: np.ndarray, f: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(rep: np.ndarray, f: np.ndarray, root: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
         names, counts = np.unique(root, return_counts=True)
         left = np.flatnonzero(root != names[counts.argmax()])[:most]
         step = max(1, (1 << 18) // len(f))
         for k in range(0, len(left), step):
             some = left[k : k + step]
             a, b = np.nonzero((np.bitwise_count(f[some, None] ^ f[None, :]) <= bits) & (root[some, None] != root[None, :]))
-            x, y = rep[some[a]], rep[b]
+            near = np.zeros(len(a), np.int64)
+            for p in range(prints):
+                near += np.bitwise_count(sig[some[a], p] ^ sig[b, p])
+            good = near <= WHOLE * 64 * prints
+            x, y = rep[some[a[good]]], rep[b[good]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         for part in filter(len, parts):
-            now = [c.to_numpy() for c in part.columns]
+            now = [*(c.to_numpy() for c in part.columns[:4]), part.column(4).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, prints)]
             edge = [0, *(np.flatnonzero(np.diff(now[0])) + 1).tolist(), len(now[0])]
             for a, z in zip(edge, edge[1:]):
                 if held and held[0][0][0] != now[0][a]:
@@ -439,10 +444,10 @@ def _further(rows: DataFrame, most: int | None, bits: int) -> DataFrame:
             yield from whole(held)
 
     def whole(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        _, rep, fp, root = (np.concatenate(c) for c in zip(*held))
-        yield from pairs(rep, fp.view(np.uint64), root)
+        _, rep, fp, root, sig = (np.concatenate(c) for c in zip(*held))
+        yield from pairs(rep, fp.view(np.uint64), root, sig)
 
-    return rows.select("run", "rep", "fp", "root").repartition("run").sortWithinPartitions("run", "rep").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("run", "rep", "fp", "root", "sig").repartition("run").sortWithinPartitions("run", "rep").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_copies(
@@ -473,11 +478,12 @@ def near_copies(
     for most in ROUNDS:
         rows = dense.join(labels, dense["rep"] == labels["node"], "left").withColumn("root", F.coalesce("root", "rep"))
         open_ = rows.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        left = keep(rows.join(open_.select("run"), "run").select("run", "rep", "fp", "root"), "left")
+        rows = rows.join(open_.select("run"), "run").select("run", "rep", "fp", "root")
+        left = keep(rows.join(reps.select("rep", "sig"), "rep").select("run", "rep", "fp", "root", "sig"), "left")
         if left.isEmpty():
             release(left)
             break
-        found = keep(similar(_further(left, most, bits), whole, bound), "links")
+        found = keep(similar(_further(left, most, bits, prints), whole, bound), "links")
         every.append(found)
         before, labels = labels, keep(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)), "labels")
         release(left, before)
