@@ -36,8 +36,9 @@ WORDS = frozenset(
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 WHOLE = frozenset("article body html main".split())
-_SPLIT = re.compile(r"[^a-z0-9]+")
+UNCLOSED = frozenset("button form head header menu nav select title".split())  # hold no article, so one that starts there ends them
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+_SPLIT = re.compile(r"[^a-z0-9]+")
 SPREAD, REACH, PART = 1.0, 3, 0.3  # the Gaussian's deviation and radius in lines; of the best article's mass
 
 
@@ -81,7 +82,7 @@ class Lines(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if self.skipped:
-            if tag in ("article", "main") and self.skipped not in ("noscript", "template") or self.skipped in ("p", "li") and tag in BLOCK:
+            if tag in ("article", "main") and self.skipped in UNCLOSED or self.skipped in ("p", "li") and tag in BLOCK:
                 self.skipped = None
             else:
                 self.depth += tag == self.skipped
@@ -97,10 +98,7 @@ class Lines(HTMLParser):
             self.articles.append(self.count)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:  # a slash doesn't close other elements
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)  # a slash closes nothing that isn't void
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1

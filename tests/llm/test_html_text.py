@@ -49,3 +49,14 @@ def test_nulls_long_pages_ties_and_clashing_names(spark):
 def test_query_counts_code_points(spark, sf):
     rows = op2_tag_ratio_text(spark, sf).collect()
     assert len(rows) > 10 and all(r.n_chars == len(r.text) > 0 for r in rows)
+
+
+def test_articles_within_what_is_left_out():
+    """Comments of readers and adverts that are articles themselves stay out; one that starts in an unclosed menu is content."""
+    body = "".join(f"<p>Sentence {k} of the story that goes on for a while.</p>" for k in range(6))
+    want = "\n".join(f"Sentence {k} of the story that goes on for a while." for k in range(6))
+    for extra in ('<section id="comments"><article><p>I do not agree with any of this.</p></article></section>', "<aside><article><p>Buy one, and get another one for free today.</p></article></aside>"):
+        assert H.main_text(f"<body><article>{body}{extra}</article></body>") == want
+        assert H.main_text(f"<body><article>{body}</article>{extra}</body>") == want
+    assert H.main_text(f"<body><nav><a>Home</a><article>{body}</article></body>") == want
+
