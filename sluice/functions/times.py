@@ -62,6 +62,9 @@ def register(spark: SparkSession) -> None:
         "time_format(t BIGINT, form STRING, zone STRING) RETURNS STRING": "date_format(from_utc_timestamp(timestamp_seconds(t), zone), form)",
         "time_range(t BIGINT, since BIGINT, until BIGINT) RETURNS BOOLEAN": "t >= since AND t < until",
         "time_since(t BIGINT, since BIGINT) RETURNS BOOLEAN": "t >= since",
-        "time_add(t BIGINT, duration STRING) RETURNS BIGINT": f"t + CAST(regexp_extract(duration, '^([+-]?[0-9]+)', 1) AS BIGINT) * CASE right(duration, 1) {unit} END",
+        "time_add(t BIGINT, duration STRING) RETURNS BIGINT": f"""CASE WHEN trim(duration) RLIKE '^[+-]?([0-9]+[{"".join(UNITS)}])+$' THEN
+            t + CASE WHEN trim(duration) LIKE '-%' THEN -1 ELSE 1 END * aggregate(regexp_extract_all(duration, '([0-9]+[a-z])', 1), 0L,
+            (total, x) -> total + CAST(left(x, length(x) - 1) AS BIGINT) * CASE right(x, 1) {unit} END)
+            WHEN duration IS NOT NULL THEN CAST(raise_error(concat('not a duration: ', duration)) AS BIGINT) END""",
     }.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name} RETURN {body}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -90,6 +91,6 @@ def _reverse(c: str | Column) -> Column:
     if isinstance(c, str):
         return F.col(c).desc_nulls_last()
     text = str(c._jc.toString()) if hasattr(c, "_jc") else ""
-    if "DESC" in text:
+    if re.search(r" DESC NULLS (FIRST|LAST)$", text):
         raise ValueError("lasts() takes ascending columns; use firsts() for a descending order")
     return c.desc_nulls_last()

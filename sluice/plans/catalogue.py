@@ -58,49 +58,47 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DAILY = """
-WITH a AS (
-  SELECT date_format(time, 'yyyy-MM-dd') AS day, CAST(usr AS BIGINT) AS usr, count(*) AS cnt
-  FROM (
-    SELECT time, coalesce(u, CAST(account_id AS STRING)) AS usr
-    FROM (SELECT time, account_id, nullif(regexp_extract(user, '([0-9]+)/.*', 1), '') AS u FROM {source} WHERE time >= {{start}} - INTERVAL '{{days}}' DAY) s2
-  ) s
-  WHERE usr IS NOT NULL
-  GROUP BY date_format(time, 'yyyy-MM-dd'), CAST(usr AS BIGINT)
-  ORDER BY day, usr LIMIT 10000
+WITH done AS (
+  SELECT date_format(time, 'yyyy-MM-dd') AS day, try_cast(split_part(user, '/', 1) AS BIGINT) AS named, account_id
+  FROM {source} WHERE time >= {{start}} - INTERVAL '{{days}}' DAY
+),
+activity AS (
+  SELECT day, coalesce(named, account_id) AS account, count(*) AS requests
+  FROM done WHERE coalesce(named, account_id) IS NOT NULL GROUP BY ALL ORDER BY day, account LIMIT {{most}}
 )
-SELECT a.day, concat(a.usr, ':', coalesce(c.name, '')) AS who, a.cnt
-FROM a LEFT JOIN {accounts} c ON a.usr = c.account_id
-WHERE c.location = {{location}} OR c.location IS NULL
+SELECT day, concat(account, ':', coalesce(name, '')) AS who, requests AS cnt
+FROM activity LEFT JOIN {accounts} AS place ON account = place.account_id
+WHERE coalesce(location, {{location}}) = {{location}}
 """
 
 
 @ready("""
-    WITH a AS (
-      SELECT strftime(ts, '%Y-%m-%d') AS day, user_id AS usr, count(*) AS cnt FROM events WHERE ts >= TIMESTAMP '2024-01-10'
-      GROUP BY 1, 2 ORDER BY day, usr LIMIT 10000),
-    c AS (SELECT c_custkey AS account_id, c_name AS name, c_mktsegment AS location FROM customer WHERE c_acctbal > 3000)
-    SELECT a.day, a.usr || ':' || coalesce(c.name, '') AS who, a.cnt
-    FROM a LEFT JOIN c ON a.usr = c.account_id WHERE c.location = 'FURNITURE' OR c.location IS NULL
+    WITH activity AS (
+      SELECT strftime(ts, '%Y-%m-%d') AS day, user_id AS account, count(*) AS requests FROM events WHERE ts >= TIMESTAMP '2024-01-10'
+      GROUP BY 1, 2 ORDER BY day, account LIMIT 10000),
+    place AS (SELECT c_custkey AS account_id, c_name AS name, c_mktsegment AS location FROM customer WHERE c_acctbal > 3000)
+    SELECT day, account || ':' || coalesce(name, '') AS who, requests AS cnt
+    FROM activity LEFT JOIN place ON account = account_id WHERE location = 'FURNITURE' OR location IS NULL
 """)
 def daily_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each account and day with the account's name, where its place is as given or not known."""
     from datetime import datetime
 
     accounts = table(spark, sf_dir, "customer").where("c_acctbal > 3000").selectExpr("c_custkey AS account_id", "c_name AS name", "c_mktsegment AS location")
-    text = render(DAILY, {"start": datetime(2024, 1, 20), "days": 10, "location": "FURNITURE"})
+    text = render(DAILY, {"start": datetime(2024, 1, 20), "days": 10, "location": "FURNITURE", "most": 10000})
     return Runner(spark).run(query(text, name="daily", source=completions(spark, sf_dir), accounts=accounts))
 
 
 @ready("""
-    SELECT strftime(ts, '%H') AS hour, user_id AS usr, count(*) AS cnt FROM events WHERE ts >= TIMESTAMP '2024-01-14'
-    GROUP BY 1, 2 ORDER BY hour, usr LIMIT 20000
+    SELECT strftime(ts, '%H') AS hour, user_id AS account, count(*) AS requests FROM events WHERE ts >= TIMESTAMP '2024-01-14'
+    GROUP BY 1, 2 ORDER BY hour, account LIMIT 20000
 """)
-def hourly_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of each account by hour of the day: the first rows in order."""
+def hourly_activity(spark: SparkSession, sf_dir: str, most: int = 20000) -> DataFrame:
+    """Events of each account by hour of the day: the first `most` rows in order."""
     rows = completions(spark, sf_dir).transform(op.between, "time", "2024-01-14")
-    usr = F.coalesce(fn.extract_or_null(F.col("user"), "([0-9]+)/.*"), F.col("account_id").cast("string")).try_cast("long")
-    counted = op.grouped(rows, [fn.time_format(F.col("t"), "HH").alias("hour"), usr.alias("usr")], cnt=F.count("*"))
-    return op.limit(op.ordered(counted, "hour", "usr"), 20000)
+    account = F.coalesce(fn.extract_or_null(F.col("user"), "^([0-9]+)/").try_cast("long"), F.col("account_id"))
+    counted = op.grouped(rows, [fn.time_format(F.col("t"), "HH").alias("hour"), account.alias("account")], requests=F.count("*"))
+    return op.limit(op.ordered(counted, "hour", "account"), most)
 
 
 @ready("""
@@ -462,7 +460,10 @@ def scalar_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Runner(spark).run(query("SELECT 1 AS one"))
 
 
-@ready()
+@ready("""
+    SELECT * FROM (VALUES ('nation', 'n_nationkey', 'int'), ('nation', 'n_name', 'string'), ('nation', 'n_regionkey', 'int'), ('region', 'r_regionkey', 'int'), ('region', 'r_name', 'string'))
+        AS t(table_name, column_name, type)
+""")
 def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns of the tables of a namespace."""
     db = database(spark, f"sluice_{uuid.uuid4().hex[:12]}").create()
@@ -475,14 +476,14 @@ def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         db.drop()
 
 
-VIEWS = "time timestamp_ntz, js_id long, browser string, ip string, referrer string"
+VIEWS = "time timestamp_ntz, visitor long, browser string, ip string, referrer string"
 
 
 def _views(events: DataFrame) -> DataFrame:
     """Events as page views."""
     return events.selectExpr(
-        "event_id", "date_trunc('HOUR', ts) AS time", "user_id AS js_id", "element_at(array('Chrome', 'Firefox', 'Safari', 'Edge'), CAST(event_id % 4 AS INT) + 1) AS td_browser",
-        "concat('10.', user_id % 4, '.', event_id % 256, '.1') AS td_ip", "concat('https://console.example.com/', event_type, '/x') AS td_referrer",
+        "event_id", "date_trunc('HOUR', ts) AS time", "user_id AS visitor", "element_at(array('Lynx', 'Falkon', 'Dillo', 'Konqueror'), CAST(event_id % 4 AS INT) + 1) AS agent",
+        "concat('10.', user_id % 4, '.', event_id % 256, '.1') AS address", "concat('https://shop.example.org/', event_type, '/x') AS came_from",
     )
 
 
@@ -500,7 +501,7 @@ _DUCK_COUNTRY = """CASE WHEN user_id % 4 = 0 OR (user_id % 4 = 1 AND event_id %
 
 @ready(f"""
     WITH firsts AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY date_trunc('hour', ts), user_id ORDER BY event_id) = 1)
-    SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, user_id AS js_id, CASE event_id % 4 WHEN 0 THEN 'Chrome' ELSE 'Firefox' END AS browser,
+    SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, user_id AS visitor, CASE event_id % 4 WHEN 0 THEN 'Lynx' ELSE 'Falkon' END AS browser,
            {_DUCK_COUNTRY} AS country, event_type AS category
     FROM firsts WHERE event_id % 4 < 2
 """)
@@ -508,21 +509,21 @@ def page_view_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page views: typed, without doubles, of two browsers, with country and referrer's category, exported and read again."""
     at = scratch(spark)
     source = task(lambda: _views(table(spark, sf_dir, "events")), name="source")
-    firsts = task(lambda v: op.partitioned(v, "time", "js_id").order_by("event_id").firsts(), source, name="firsts")
-    renames = {"browser": "td_browser", "ip": "td_ip", "referrer": "td_referrer"}
+    firsts = task(lambda v: op.partitioned(v, "time", "visitor").order_by("event_id").firsts(), source, name="firsts")
+    renames = {"browser": "agent", "ip": "address", "referrer": "came_from"}
     typed = task(lambda v: op.cast_as(v, VIEWS, renames), firsts, name="typed")
-    chosen = task(lambda v: op.filtered(v, F.col("browser").isin("Chrome", "Firefox")), typed, name="chosen")
+    chosen = task(lambda v: op.filtered(v, F.col("browser").isin("Lynx", "Falkon")), typed, name="chosen")
     placed = task(lambda v: fn.ip_to_country(v, "ip", _countries(spark)), chosen, name="placed")
-    category = task(lambda v: op.map_column(v, "referrer", "nullif(regexp_extract(?, 'https://console.example.com/([a-z_]+)', 1), '')"), placed, name="category")
+    category = task(lambda v: op.map_column(v, "referrer", "nullif(regexp_extract(?, 'https://shop.example.org/([a-z_]+)', 1), '')"), placed, name="category")
     sent = task(lambda v: export(v, f"parquet://{at}/views.parquet"), category, name="sent")
     back = task(lambda: from_file(spark, f"{at}/views.parquet"), name="back").depends_on(sent)
-    return op.project(Runner(spark).run(back), F.date_format("time", "yyyy-MM-dd HH").alias("hour"), "js_id", "browser", "country", category="referrer")
+    return op.project(Runner(spark).run(back), F.date_format("time", "yyyy-MM-dd HH").alias("hour"), "visitor", "browser", "country", category="referrer")
 
 
 @ready(f"SELECT event_id, {_DUCK_COUNTRY} AS country FROM events")
 def ip_to_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event's country, from its address and a table of ranges; NULL for addresses in none."""
-    return op.project(fn.ip_to_country(_views(table(spark, sf_dir, "events")), "td_ip", _countries(spark)), "event_id", "country")
+    return op.project(fn.ip_to_country(_views(table(spark, sf_dir, "events")), "address", _countries(spark)), "event_id", "country")
 
 
 @ready("""

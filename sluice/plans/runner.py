@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Callable, Mapping
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from datetime import datetime
@@ -62,7 +63,11 @@ class Runner:
 
     def run(self, leaf: Task, only: set[Task] | None = None) -> Any:
         """The leaf's result. only: a part of the graph; what it needs beside that must have run on this runner."""
-        waiting = [t for t in graph_of(leaf).order() if t not in self.results and (only is None or t in only)]
+        every = graph_of(leaf).order()
+        if self.ledger or self.keep and self.keep.startswith("table:"):  # there a task is known by its name
+            if twice := sorted(n for n, times in Counter(t.name for t in every if t.kind != "barrier").items() if times > 1):
+                raise ValueError(f"tasks need names of their own: {', '.join(twice)}")
+        waiting = [t for t in every if t not in self.results and (only is None or t in only)]
         period = str(self.params.get("scheduled", ""))
         skipped = self.ledger.done(period) if self.ledger else set()
         if self.workers == 1:
@@ -97,8 +102,10 @@ class Runner:
 
     def _one(self, node: Task, period: str, skipped: set[str]) -> None:
         if node.name in skipped and node.kind != "barrier":
-            self.results[node] = self._kept(node)
-            return
+            kept = self._kept(node)
+            if kept is not None or node.kind != "query":  # a query whose rows weren't kept has to run again
+                self.results[node] = kept
+                return
         missing = [d for d in node.deps if d not in self.results]
         if missing:
             raise RuntimeError(f"{node.name} needs {missing}")

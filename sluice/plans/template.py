@@ -8,6 +8,8 @@ from datetime import date, datetime
 from decimal import Decimal
 from typing import Any
 
+from pyspark.sql import SparkSession
+
 _PARTS = re.compile(r"'(?:[^'\\]|\\.|'')*'|\{\{\s*(\w+)\s*\}\}|--[^\n]*|/\*.*?\*/|[^'{/\-]+|.", re.DOTALL)
 _NAME = re.compile(r"\{\{\s*(\w+)\s*\}\}")
 
@@ -39,6 +41,11 @@ def escaped(text: str) -> str:
     return text.replace("\\", "\\\\").replace("'", "\\'")
 
 
+def render_file(spark: SparkSession, path: str, params: Mapping[str, Any]) -> str:
+    """render() of a template that is a text file, at any path that Spark reads."""
+    return render(spark.read.text(path, wholetext=True).first()[0], params)
+
+
 def render(template: str, params: Mapping[str, Any]) -> str:
     """The template with every placeholder filled in: inside quotes as escaped text, elsewhere as a literal.
 

@@ -19,6 +19,19 @@ def from_rows(spark: SparkSession, rows: Iterable[Any], schema: StructType | str
     return spark.createDataFrame(list(rows), schema)
 
 
+def from_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, low: Any = None, high: Any = None, parts: int = 1, **options: Any) -> DataFrame:
+    """A table or (query) AS name of a database as a frame, over JDBC; filters and columns are pushed to it.
+
+    With a column and the bounds of its values, `parts` ranges of it are read side by side; rows beyond
+    the bounds are in the first and last of them.
+    """
+    if parts > 1:
+        if column is None or low is None or high is None:
+            raise ValueError("to read in parts, a column and its bounds are needed")
+        options |= {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
+    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+
+
 def from_file(spark: SparkSession, path: str, schema: StructType | str | None = None, form: str | None = None, **options: Any) -> DataFrame:
     """A file or folder as a frame, in the format of its suffix unless one is given.
 

@@ -1,4 +1,4 @@
-"""A batch source over SQLite files, by Spark's Python data source interface."""
+"""SQLite files: a batch source by Spark's Python data source interface, and statements and inserts run on the driver."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import sqlite3
 from collections.abc import Iterator
 from contextlib import closing
 
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -45,3 +46,17 @@ class SQLiteSource(DataSource):
 
     def reader(self, schema: StructType) -> SQLiteReader:
         return SQLiteReader(schema, dict(self.options))
+
+
+def execute(path: str, statement: str, *values: object) -> list[tuple]:
+    """One statement on a database file, which is made if it is missing; the rows that it gives."""
+    with closing(sqlite3.connect(path)) as db, db:
+        return db.execute(statement, values).fetchall()
+
+
+def insert(df: DataFrame, path: str, table: str) -> None:
+    """Adds df's rows to a table of a database file, all or none; rows come to the driver a partition at a time."""
+    columns = ", ".join('"' + c.replace('"', '""') + '"' for c in df.columns)
+    target = '"' + table.replace('"', '""') + '"'
+    with closing(sqlite3.connect(path)) as db, db:
+        db.executemany(f"INSERT INTO {target} ({columns}) VALUES ({', '.join('?' * len(df.columns))})", map(tuple, df.toLocalIterator()))

@@ -35,15 +35,20 @@ def sessions(df: DataFrame, time: str, gap: str, keys: Sequence[str], late: str
 
 
 def counted_windows(df: DataFrame, key: str, value: str, rows: int) -> DataFrame:
-    """(key, window_id, n, total) for every `rows` rows of a key, as they arrive; a short last window waits for more."""
+    """(key, window_id, n, total) for every `rows` rows of a key, as they arrive; a short last window waits for more.
+
+    Rows of a null value count, and add nothing to the total.
+    """
     kind = dict(df.dtypes)[key]
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         window, n, total = state.get if state.exists else (0, 0, 0.0)
         out = []
         for part in parts:
-            for v in part[value]:
-                n, total = n + 1, total + float(v)
+            values, at = part[value].fillna(0).to_numpy(dtype=float), 0
+            while at < len(values):
+                some = values[at : at + rows - n]
+                at, n, total = at + len(some), n + len(some), total + float(some.sum())
                 if n == rows:
                     out.append((k[0], window, n, total))
                     window, n, total = window + 1, 0, 0.0

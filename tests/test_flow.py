@@ -116,3 +116,36 @@ def test_scheduled_runs():
     seen = []
     node = task(lambda: seen.append(1), name="daily").repeat(S.EVERY_DAY)
     assert len(Runner().run_all(node, datetime(2024, 1, 1), datetime(2024, 1, 4))) == 3 and len(seen) == 3
+
+
+def test_names_are_unique_where_they_are_keys(spark):
+    import pytest
+
+    from sluice.plans import Runner, query
+
+    both = query("SELECT * FROM {a} UNION ALL SELECT * FROM {b}", name="both", a=query("SELECT 1 AS x"), b=query("SELECT 2 AS x"))
+    assert sorted(r.x for r in Runner(spark).run(both).collect()) == [1, 2]
+    with pytest.raises(ValueError, match="names of their own"):
+        Runner(spark, keep="table:nowhere").run(both)
+
+
+def test_template_file_and_compound_durations(spark, tmp_path):
+    from sluice.functions import times
+    from sluice.plans.template import render_file
+
+    (tmp_path / "t.sql").write_text("SELECT '{{who}}' AS who,\n  {{n}} AS n")
+    row = spark.sql(render_file(spark, f"file://{tmp_path}/t.sql", {"who": "it's", "n": 3})).first()
+    assert (row.who, row.n) == ("it's", 3)
+    times.register(spark)
+    assert tuple(spark.sql("SELECT time_add(0, '+1d12h'), time_add(0, '-30d'), time_add(5, '1h'), time_add(0, NULL)").first()) == (129600, -2592000, 3605, None)
+
+
+def test_sqlite_can_be_written(spark, tmp_path):
+    from sluice.sources import sqlite
+
+    path = str(tmp_path / "x.db")
+    sqlite.execute(path, "CREATE TABLE t (id INTEGER, name TEXT)")
+    sqlite.insert(spark.createDataFrame([(1, "leo"), (2, None)], "id int, name string"), path, "t")
+    assert sqlite.execute(path, "SELECT id, name FROM t WHERE id > ? ORDER BY id", 0) == [(1, "leo"), (2, None)]
+    sqlite.execute(path, "DROP TABLE t")
+    assert sqlite.execute(path, "SELECT count(*) FROM sqlite_master") == [(0,)]
