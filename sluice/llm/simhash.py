@@ -45,8 +45,8 @@ LARGE = 1024  # joined runs up to this length are not cut further
 CHUNK, ROWS = 32_768, 200_000  # rows that are searched at once, and copies of them by the bits left out
 HEAVY = 65_536  # rows of a segment's value beyond which they are dealt by the second segment too
 PROBES = 4  # rows of a long run that tell whether it is dense
-CENTRES = 4  # rows of a dense run that all others are compared with at first
-WHOLE = 0.205  # of all bits of two signatures that may differ there: at a similarity of 0.8 the mean is 0.1515, its deviation 0.0112
+CENTRES = 1  # rows of a dense run that all others are compared with at first
+WHOLE = 0.19  # of all bits of two signatures that may differ there: at a similarity of 0.8 the mean is 0.1515, its deviation 0.0112
 ROUNDS = (64, None)  # and further on, of those that are out of its commonest component
 DOMAIN = 1 << 20  # values of segments that are counted
 
@@ -413,12 +413,12 @@ def similar(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(both * least.denominator >= union * least.numerator).select("a", "b")
 
 
-def _further(rows: DataFrame, most: int | None, bits: int, prints: int) -> DataFrame:
-    """(a, b): in each run (run, rep, fp, root, sig), the near pairs of other roots with the first `most` rows out of the commonest root."""
+def _further(rows: DataFrame, done: int, most: int | None, bits: int, prints: int) -> DataFrame:
+    """(a, b): in each run (run, rep, fp, root, sig), the near pairs of other roots with the rows out of the commonest root, from `done` to `most`."""
 
     def pairs(rep: np.ndarray, f: np.ndarray, root: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
         names, counts = np.unique(root, return_counts=True)
-        left = np.flatnonzero(root != names[counts.argmax()])[:most]
+        left = np.flatnonzero(root != names[counts.argmax()])[done:most]
         step = max(1, (1 << 18) // len(f))
         for k in range(0, len(left), step):
             some = left[k : k + step]
@@ -465,7 +465,7 @@ def near_copies(
     texts = only(docs, id_col, text_col).where("doc_id is not null")
     of = keep(shingle_sets(texts, shingle, prints), "sets")
     reps = keep(of.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "reps")
-    small = SMALL
+    small = max(2, SMALL // 2)  # each candidate costs a look at two whole sets
     met = keep(_searched(reps, bits, prints, lambda: _meeting(bits, small), "run long, a long, b long"), "met")
     pairs = met.where("run < 0 and a <> b").select("a", "b").distinct()
     dense = met.where("run >= 0").select("run", F.col("a").alias("rep"), F.col("b").alias("fp"))
@@ -475,6 +475,7 @@ def near_copies(
     found = keep(similar(pairs, whole, bound), "links")
     labels = keep(components(found), "labels")
     every = [found]
+    done = 0
     for most in ROUNDS:
         rows = dense.join(labels, dense["rep"] == labels["node"], "left").withColumn("root", F.coalesce("root", "rep"))
         open_ = rows.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
@@ -483,10 +484,11 @@ def near_copies(
         if left.isEmpty():
             release(left)
             break
-        found = keep(similar(_further(left, most, bits, prints), whole, bound), "links")
+        found = keep(similar(_further(left, done, most, bits, prints), whole, bound), "links")
         every.append(found)
         before, labels = labels, keep(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)), "labels")
         release(left, before)
+        done = most if found.isEmpty() else 0  # without new links the same rows come first again
     named = reps.join(labels, reps["rep"] == labels["node"], "left").select("same", F.coalesce("root", "rep").alias("component_id"))
     release(met, whole, *every)
     return of.select("doc_id", "same").join(named, "same").select("doc_id", "component_id")
