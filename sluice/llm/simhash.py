@@ -241,19 +241,28 @@ def _meeting(bits: int, small: int) -> Callable:
             out.append((np.full(len(a), -1), np.minimum(a, b), np.maximum(a, b)))
 
         def long(f: np.ndarray, at: np.ndarray, s: int, level: int, dense: bool) -> None:
-            """Rows around one are a run of their own. A row beyond that is near only to rows that are beyond, or nearly so: they are searched on."""
+            """Rows around a centre are a run of their own. A row beyond that is near only to rows that are beyond, or nearly so: they are searched on.
+
+            The centre is the row nearest to the majority, bit by bit, of the rows near a probe. The chains of one fingerprint share it
+            for the most part: it names the run, so that what several chains find around it is one run.
+            """
+            name, apart = search.base + count[0] + count[1], np.zeros(len(f), np.uint8)
             if dense:
-                apart = min((np.bitwise_count(f ^ f[len(f) * k // PROBES]) for k in range(PROBES)), key=lambda x: -(x <= bits).sum())
+                most = max((np.bitwise_count(f ^ f[len(f) * k // PROBES]) <= bits for k in range(PROBES)), key=np.count_nonzero)
+                middle = np.packbits(2 * _ones(f[most][:, None])[0] > most.sum(), bitorder="little").view("<u8")
+                centre = f[np.lexsort((rep[at], np.bitwise_count(f ^ middle)))[:1]]
+                name = int(mix(centre)[0] >> np.uint64(2)) | 1 << 62
+                apart = np.bitwise_count(f ^ centre)
                 beyond = np.flatnonzero(apart > 2 * bits)
                 if len(beyond) > 1:
                     ring.runs(np.zeros(len(beyond), np.int64), f[beyond], at[beyond], np.full(len(beyond), s), level)
-                f, at = f[apart <= 3 * bits], at[apart <= 3 * bits]
-            order = np.argsort(rep[at], kind="stable")
+                f, at, apart = (x[apart <= 3 * bits] for x in (f, at, apart))
+            order = np.lexsort((rep[at], apart))  # the rows in the midst are near to most others
             f, at = f[order], at[order]
             for c in range(min(CENTRES, len(f) - 1)):
                 near = c + 1 + np.flatnonzero(np.bitwise_count(f[c + 1 :] ^ f[c]) <= bits)
                 found(np.full(len(near), at[c]), at[near])
-            out.append((np.full(len(f), search.base + count[0] + count[1]), rep[at], f.view(np.int64)))
+            out.append((np.full(len(f), name), rep[at], f.view(np.int64)))
             count[0] += 1
 
         ring = Ring(bits, small, 0, found, long)
@@ -468,29 +477,33 @@ def near_copies(
     small = max(2, SMALL // 2)  # each candidate costs a look at two whole sets
     met = keep(_searched(reps, bits, prints, lambda: _meeting(bits, small), "run long, a long, b long"), "met")
     pairs = met.where("run < 0 and a <> b").select("a", "b").distinct()
-    dense = met.where("run >= 0").select("run", F.col("a").alias("rep"), F.col("b").alias("fp"))
+    dense = keep(met.where("run >= 0").select("run", F.col("a").alias("rep"), F.col("b").alias("fp")).distinct(), "dense")
     named = met.select(F.col("a").alias("doc_id")).union(met.where("run < 0").select("b")).distinct()
     # Of rows that repeat a doc_id one is taken, the same for all pairs.
     whole = keep(whole_sets(texts.join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), shingle), "whole")
     found = keep(similar(pairs, whole, bound), "links")
     labels = keep(components(found), "labels")
     every = [found]
-    done = 0
+    done, left = 0, None
     for most in ROUNDS:
-        rows = dense.join(labels, dense["rep"] == labels["node"], "left").withColumn("root", F.coalesce("root", "rep"))
-        open_ = rows.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        rows = rows.join(open_.select("run"), "run").select("run", "rep", "fp", "root")
-        left = keep(rows.join(reps.select("rep", "sig"), "rep").select("run", "rep", "fp", "root", "sig"), "left")
+        if left is None:
+            rows = dense.join(labels, dense["rep"] == labels["node"], "left").withColumn("root", F.coalesce("root", "rep"))
+            open_ = rows.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+            rows = rows.join(open_.select("run"), "run").select("run", "rep", "fp", "root")
+            left = keep(rows.join(reps.select("rep", "sig"), "rep").select("run", "rep", "fp", "root", "sig"), "left")
         if left.isEmpty():
-            release(left)
             break
         found = keep(similar(_further(left, done, most, bits, prints), whole, bound), "links")
         every.append(found)
+        if found.isEmpty():  # the same rows are left, and those after `most` come next
+            done = most
+            continue
         before, labels = labels, keep(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)), "labels")
         release(left, before)
-        done = most if found.isEmpty() else 0  # without new links the same rows come first again
+        done, left = 0, None
+    release(left)
     named = reps.join(labels, reps["rep"] == labels["node"], "left").select("same", F.coalesce("root", "rep").alias("component_id"))
-    release(met, whole, *every)
+    release(met, dense, whole, *every)
     return of.select("doc_id", "same").join(named, "same").select("doc_id", "component_id")
 
 
