@@ -23,30 +23,36 @@ equally common words the lesser has a cell first; other columns may have any nam
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Recent, batches, keep, only, pairs_of
+from sluice.llm.common import batches, keep, only
 
-SIDE = 16  # values of a cell's digit
+SIDE = 16  # values of a cell's digit, a power of two
 CELLS, TOP = SIDE**3, SIDE**3 // 2
 PAD = CELLS  # beyond a document's ends
 PLACES = (-2, -1, 1, 2)
 HIDDEN, RATE = 16, 0.015
 LEAST_BATCH, MOST_BATCH = 256, 4096  # windows of a step: a 64th of those that are read at once
-DISTINCT = 400_000  # words that a task counts before it hands them on
 CHUNK = 1 << 16
+SAFE = 60  # a softmax's inputs below it neither overflow nor vanish as single precision
 BLOCK = 256  # codes whose weights travel as one row
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "replace").lower().split()
+def words_of(texts: pa.Array) -> pa.ListArray:
+    """The words (binary) of each text; a null text has none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    flat = lists.flatten().cast(pa.large_binary())
+    real = pc.not_equal(pc.binary_length(flat), 0)  # white space at an end leaves an empty word
+    before = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))
+    offsets = before[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat.filter(real))
 
 
 def shared_cell(word: bytes) -> int:
@@ -54,6 +60,15 @@ def shared_cell(word: bytes) -> int:
     return TOP + zlib.crc32(word) % (CELLS - TOP)
 
 
+def shared_cells(words: pa.LargeBinaryArray) -> np.ndarray:
+    """The same of each of these, which are not a slice."""
+    _, offsets, data = words.buffers()
+    if not len(words) or data is None:
+        return np.zeros(0, np.int64)
+    at, raw = np.frombuffer(offsets, np.int64, len(words) + 1).tolist(), data.to_pybytes()
+    return np.fromiter((shared_cell(raw[a:z]) for a, z in zip(at, at[1:])), np.int64, len(words))
+
+
 @dataclass
 class Words:
     """The words with a cell of their own, and what each cell adds to the logarithm of its words' probability.
@@ -65,28 +80,39 @@ class Words:
     inside: np.ndarray
 
 
-def codes_of(words: Words) -> Recent:
-    """The cell of each word."""
-    return Recent(lambda word: words.code[word] if word in words.code else shared_cell(word), 150_000)
+def groups(parts: Iterable[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array, np.ndarray]]:
+    """(doc_ids, sizes, words, of) of groups of documents, up to the first of `most` words: distinct words, and which each word is."""
+    ids, lists, count = [], [], 0
+
+    def group() -> tuple[pa.Array, np.ndarray, pa.Array, np.ndarray]:
+        sizes = np.concatenate([np.diff(np.asarray(x.offsets)) for x in lists])
+        every = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+        return pa.concat_arrays(ids), sizes, every.dictionary, every.indices.to_numpy()
+
+    for part in parts:
+        for start in range(0, part.num_rows, 256):
+            piece = part.slice(start, 256)
+            ids.append(piece.column(0))
+            lists.append(words_of(piece.column(1)))
+            count += len(lists[-1].flatten())
+            if count >= most:
+                yield group()
+                ids, lists, count = [], [], 0
+    if ids:
+        yield group()
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(word binary, cell int, n long) of all words of docs (doc_id, text), counted in each task first; cell is the shared one."""
-    schema = pa.schema([("word", pa.binary()), ("cell", pa.int32()), ("n", pa.int64())])
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            seen: Counter = Counter()
-            for _, text in pairs_of(parts):
-                seen.update(words_of(text))
-                if len(seen) >= DISTINCT:
-                    yield from ((w, shared_cell(w), n) for w, n in seen.items())
-                    seen.clear()
-            yield from ((w, shared_cell(w), n) for w, n in seen.items())
-
-        yield from batches(rows(), schema)
+        for _, _, words, of in groups(parts, 32 * CHUNK):
+            counts = np.bincount(of, minlength=len(words))
+            for k in range(0, len(words), CHUNK):
+                yield pa.RecordBatch.from_arrays([words[k : k + CHUNK].cast(pa.binary()), pa.array(counts[k : k + CHUNK])], names=["word", "n"])
 
-    return docs.mapInArrow(run, "word binary, cell int, n long").groupBy("word", "cell").agg(F.sum("n").alias("n"))
+    cell = (F.lit(TOP) + F.crc32("word") % (CELLS - TOP)).cast("int")
+    return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).select("word", cell.alias("cell"), "n")
 
 
 def vocabulary(counts: DataFrame) -> Words | None:
@@ -122,47 +148,57 @@ class Network:
         return np.tanh(h, out=h)
 
     def digits(self, h: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        """(3, SIDE, places): the softmaxes' inputs, less their maxima, for each digit of the cells given those before."""
-        s = (self.v @ h.T + self.c[:, None]).reshape(3, SIDE, -1)
-        s[1] += np.take(self.two.T, cell // (SIDE * SIDE), axis=1)
-        s[2] += np.take(self.three.T, cell // SIDE, axis=1)
-        s -= s.max(1, keepdims=True)
+        """(3, SIDE, places): the softmaxes' inputs, less their maxima if these may be large, for each digit of the cells given those before."""
+        s = self.v @ h.T
+        s += self.c[:, None]
+        s = s.reshape(3, SIDE, -1)
+        s[1] += np.take(np.ascontiguousarray(self.two.T), cell // (SIDE * SIDE), axis=1)
+        s[2] += np.take(np.ascontiguousarray(self.three.T), cell // SIDE, axis=1)
+        if np.abs(self.v).sum(1).max() + sum(np.abs(x).max() for x in (self.c, self.two, self.three)) > SAFE:
+            s -= s.max(1, keepdims=True)
         return s
 
     def log_cells(self, h: np.ndarray, cell: np.ndarray) -> np.ndarray:
         s = self.digits(h, cell)
-        n = np.arange(len(cell))
-        own = sum(s[k, cell // SIDE ** (2 - k) % SIDE, n] for k in range(3))
+        own = np.take(s.ravel(), _own(cell)).sum(0)
         return own - np.log(np.exp(s, out=s).sum(1)).sum(0)
 
     def slopes(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the mean negative log-likelihood: for each place's row of the tables, alike for all PLACES, and for what follows the tables."""
+        """Of the mean negative log-likelihood: (HIDDEN, places) for each place's row of the tables, alike for all PLACES, and for what follows the tables."""
         h = self.hidden(ids, at)
-        cell, n = ids[at], np.arange(len(at))
+        cell = ids[at]
         p = self.digits(h, cell)
         np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
-        for k in range(3):
-            p[k, cell // SIDE ** (2 - k) % SIDE, n] -= 1
-        p /= np.float32(len(at))
+        p /= p.sum(1, keepdims=True) * np.float32(len(at))
         every = p.reshape(3 * SIDE, -1)
-        d = (every.T @ self.v) * (1 - h * h)
-        two, three = _sums(cell // (SIDE * SIDE), p[1].T, SIDE), _sums(cell // SIDE, p[2].T, SIDE * SIDE)
-        return d, np.concatenate([d.sum(0), (every @ h).ravel(), every.sum(1), two.ravel(), three.ravel()])
+        every.reshape(-1)[_own(cell)] -= np.float32(1 / len(at))
+        d = self.v.T @ every
+        d *= 1 - (h * h).T
+        first = (cell // (SIDE * SIDE) == np.arange(SIDE)[:, None]).astype(np.float32)
+        three = _sums(cell // SIDE, p[2], SIDE * SIDE).T
+        return d, np.concatenate([d.sum(1), (every @ h).ravel(), every.sum(1), (first @ p[1].T).ravel(), three.ravel()])
 
     def gradient(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The same as one vector."""
         out = Network(np.zeros_like(self.flat))
         d, out.flat[self.tables.size :] = self.slopes(ids, at)
         for k, place in enumerate(PLACES):
-            np.add.at(out.tables[k], ids[at + place], d)
+            np.add.at(out.tables[k], ids[at + place], d.T)
         return out.flat
 
 
-def _sums(of: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
-    """(size, columns): the sums of the rows of x by the numbers in `of`."""
-    width = x.shape[1]
-    return np.bincount((of[:, None] * width + np.arange(width)).ravel(), x.ravel(), size * width).reshape(size, width).astype(np.float32)
+def _own(cell: np.ndarray) -> np.ndarray:
+    """(3, places): where (3, SIDE, places) holds the cells' own digits."""
+    shifts = (SIDE.bit_length() - 1) * np.arange(2, -1, -1)[:, None]
+    return ((cell >> shifts & SIDE - 1) + SIDE * np.arange(3)[:, None]) * len(cell) + np.arange(len(cell))
+
+
+def _sums(of: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """(rows, size): the sums of each row by the numbers in `of`."""
+    out = np.empty((len(rows), size), np.float32)
+    for k, x in enumerate(np.asarray(rows, np.float64)):
+        out[k] = np.bincount(of, x, size)
+    return out
 
 
 class Trainer:
@@ -171,49 +207,53 @@ class Trainer:
     def __init__(self):
         self.net, self.steps, self.windows = Network(), 0, 0
         self.met = np.zeros(CELLS + 1, np.int64)  # in how many places of windows each code was
-        self.first, self.second = np.zeros_like(self.net.flat), np.zeros_like(self.net.flat)
         cut = self.net.tables.size
-        self.rows = [x[:cut].reshape(-1, HIDDEN) for x in (self.net.flat, self.first, self.second)]
-        self.rest = [x[cut:] for x in (self.net.flat, self.first, self.second)]
-
-    def move(self, kept: list[np.ndarray], which, g: np.ndarray) -> None:
-        w, first, second = kept
-        m, v = first[which], second[which]
-        m = m + np.float32(0.1) * (g - m)
-        v = v + np.float32(0.01) * (g * g - v)
-        first[which], second[which] = m, v
-        w[which] -= np.float32(RATE / (1 - 0.9**self.steps)) * m / (np.sqrt(v * np.float32(1 / (1 - 0.99**self.steps))) + np.float32(1e-8))
+        self.columns = np.zeros((3, len(PLACES), HIDDEN, CELLS + 1), np.float32)  # the tables on their sides, and their two moments
+        self.columns[0] = self.net.tables.transpose(0, 2, 1)
+        self.rest = [self.net.flat[cut:], *np.zeros((2, len(self.net.flat) - cut), np.float32)]
+
+    def move(self, kept: Iterable[np.ndarray], g: np.ndarray, met: np.ndarray | None = None) -> None:
+        """A step of what is kept, along g, which is changed; if `met` is given, of its columns only (others have a 0 there)."""
+        w, m, v = kept
+        part = lambda x: np.float32(x) if met is None else met * np.float32(x)
+        x = g - m
+        x *= part(0.1)
+        m += x
+        g *= g
+        g -= v
+        g *= part(0.01)
+        v += g
+        np.multiply(v, np.float32(1 / (1 - 0.99**self.steps)), out=g)
+        np.sqrt(g, out=g)
+        g += np.float32(1e-8)
+        np.divide(m, g, out=x)
+        x *= part(RATE / (1 - 0.9**self.steps))
+        w -= x
 
     def __call__(self, ids: np.ndarray, at: np.ndarray) -> None:
         d, rest = self.net.slopes(ids, at)
         self.steps += 1
         self.windows += len(at)
-        row = np.concatenate([ids[at + place] + k * (CELLS + 1) for k, place in enumerate(PLACES)])
-        times = np.bincount(row, minlength=len(self.rows[0]))
-        self.met += times.reshape(len(PLACES), -1).sum(0)
-        which = np.flatnonzero(times)
-        self.move(self.rows, which, _sums(row, np.tile(d, (len(PLACES), 1)), len(times))[which])
-        self.move(self.rest, slice(None), rest)
-
-
-def coded(parts: Iterable[pa.RecordBatch], words: Words) -> Iterator[tuple[list, np.ndarray, np.ndarray, list]]:
-    """(ids, codes, sizes, words) of groups of documents: codes of all words, two PAD before each document and behind the last."""
-    codes = codes_of(words)
-    ids, texts, count = [], [], 0
-
-    def group() -> tuple[list, np.ndarray, np.ndarray, list]:
-        gap, sizes = np.full(2, PAD, np.int64), np.array([len(t) for t in texts], np.int64)
-        return ids, np.concatenate([x for t in texts for x in (gap, np.fromiter(map(codes.__getitem__, t), np.int64, len(t)))] + [gap]), sizes, texts
-
-    for i, text in pairs_of(parts):
-        ids.append(i)
-        texts.append(words_of(text))
-        count += len(texts[-1])
-        if count >= 4 * CHUNK or len(ids) >= 4096:
-            yield group()
-            ids, texts, count = [], [], 0
-    if ids:
-        yield group()
+        d = d.astype(np.float64)
+        for k, place in enumerate(PLACES):
+            code = ids[at + place]
+            times = np.bincount(code, minlength=CELLS + 1)
+            self.met += times
+            self.move(self.columns[:, k], _sums(code, d, CELLS + 1), (times > 0).astype(np.float32))
+            self.net.tables[k] = self.columns[0, k].T
+        self.move(self.rest, rest)
+
+
+def coded(parts: Iterable[pa.RecordBatch], words: Words) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, pa.Array, np.ndarray]]:
+    """(doc_ids, codes, sizes, words, of) of groups of documents: codes of all words, two PAD before each document and behind the last."""
+    own = pa.array(words.code, pa.large_binary())
+    for ids, sizes, distinct, of in groups(parts, 4 * CHUNK):
+        code = pc.fill_null(pc.index_in(distinct, own), -1).to_numpy().astype(np.int64)
+        rare = np.flatnonzero(code < 0)
+        code[rare] = shared_cells(distinct.take(pa.array(rare)))
+        every = np.full(len(of) + 2 * len(sizes) + 2, PAD, np.int64)
+        every[np.arange(len(of)) + 2 * np.repeat(np.arange(1, len(sizes) + 1), sizes)] = code[of]
+        yield ids, every, sizes, distinct, of
 
 
 def targets(ids: np.ndarray) -> np.ndarray:
@@ -228,7 +268,7 @@ def train(docs: DataFrame, words: Words) -> Network:
     def fit(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The sums of each block of codes, weighted by how often these were met, and under -1 of what follows the tables."""
         step, rng = Trainer(), np.random.default_rng(3)
-        for _, ids, _, _ in coded(parts, words):
+        for _, ids, *_ in coded(parts, words):
             at = targets(ids)
             rng.shuffle(at)
             size = min(MOST_BATCH, max(LEAST_BATCH, len(at) // 64))
@@ -287,13 +327,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Scores but for the logarithms of the counts of words that share a cell; these words with how often they occur."""
-        for ids, codes, sizes, texts in coded(parts, words):
+        for ids, codes, sizes, distinct, of in coded(parts, words):
             total, rare = log_likelihoods(net, words, codes, sizes), codes[codes != PAD] >= TOP
-            ends = np.cumsum(sizes).tolist()
-            found = [Counter(t[k] for k in np.flatnonzero(rare[z - len(t) : z]).tolist()) for t, z in zip(texts, ends)]
-            offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
-            lists = (pa.ListArray.from_arrays(offsets, pa.array([x for f in found for x in of(f)], kind)) for of, kind in ((Counter.keys, pa.binary()), (Counter.values, pa.int32())))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(total, pa.float64()), *lists], names=["doc_id", "n_tokens", "part", "words", "times"])
+            row = np.repeat(np.arange(len(sizes)), sizes)[rare]
+            found, times = np.unique(row * len(distinct) + of[rare], return_counts=True)
+            row, word = found // max(1, len(distinct)), found % max(1, len(distinct))
+            for k in range(0, len(ids), 1024):
+                a, z = np.searchsorted(row, (k, k + 1024))
+                some = slice(k, k + 1024)
+                offsets = pa.array(np.searchsorted(row[a:z], np.arange(k, k + len(sizes[some]) + 1)), pa.int32())
+                lists = (pa.ListArray.from_arrays(offsets, x) for x in (distinct.take(pa.array(word[a:z])).cast(pa.binary()), pa.array(times[a:z], pa.int32())))
+                yield pa.RecordBatch.from_arrays([ids[some], pa.array(sizes[some], pa.int64()), pa.array(total[some], pa.float64()), *lists], names=["doc_id", "n_tokens", "part", "words", "times"])
 
     ddl = "doc_id long, n_tokens long, part double, words array<binary>, times array<int>"
     parts = keep(texts.mapInArrow(run, ddl).withColumn("row", F.monotonically_increasing_id()), "parts")  # kept, so a row has one number

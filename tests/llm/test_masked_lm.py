@@ -3,15 +3,60 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from sluice.llm import masked_lm as M
 from sluice.llm.queries import op5_masked_likelihood
 
 
+def plain_words(text):
+    return (text or "").encode().lower().split()
+
+
+def test_words_and_codes_against_a_plain_split():
+    """Whole tables, slices and long texts: words end at the six ASCII white spaces only."""
+    rng = random.Random(7)
+    texts = [None, "", " \n", "The cat", "x" * 70000, "a\x0bb\x0cc\x1cd\x85e\u3000f"]
+    texts += ["".join(rng.choice("aB \t\n\x0b\x0c\r\x1c\x1f\x00É\u3000日") for _ in range(rng.randrange(30))) for _ in range(3000)]
+    want, column = [plain_words(t) for t in texts], pa.array(texts)
+    assert M.words_of(column).to_pylist() == want and M.words_of(column.slice(300, 256)).to_pylist() == want[300:556]
+    words = M.Words({w: k for k, w in enumerate(sorted({w for t in want for w in t})[:100])}, np.zeros(M.CELLS))
+    parts, done = pa.table({"doc_id": pa.array(range(len(texts))), "text": column}).to_batches(1000), 0
+    for ids, codes, sizes, distinct, of in M.coded(parts, words):
+        flat = []
+        for k in ids.to_pylist():
+            flat += [M.PAD] * 2 + [words.code.get(w, M.shared_cell(w)) for w in want[k]]
+        assert codes.tolist() == flat + [M.PAD] * 2 and sizes.tolist() == [len(want[k]) for k in ids.to_pylist()]
+        assert distinct.take(pa.array(of)).to_pylist() == [w for k in ids.to_pylist() for w in want[k]]
+        done += len(ids)
+    assert done == len(texts)
+
+
+def test_a_step_moves_only_the_rows_that_are_met():
+    """Against Adam on a plain gradient, in two steps; in the second some rows of the first stay."""
+    step, net = M.Trainer(), M.Network()
+    first, second = np.zeros_like(net.flat), np.zeros_like(net.flat)
+    rows = np.zeros(len(net.flat), bool)
+    for n, words in enumerate(([1, 2, 3, 4, 5, 1], [3, 9, 9]), 1):
+        ids = np.array([M.PAD] * 2 + words + [M.PAD] * 2)
+        at = M.targets(ids)
+        g = net.gradient(ids, at)
+        rows[:] = True
+        of = rows[: net.tables.size].reshape(net.tables.shape)
+        of[:] = False
+        for k, place in enumerate(M.PLACES):
+            of[k, ids[at + place]] = True
+        first[rows] += 0.1 * (g - first)[rows]
+        second[rows] += 0.01 * (g * g - second)[rows]
+        net.flat[rows] -= (M.RATE * first / (1 - 0.9**n) / (np.sqrt(second / (1 - 0.99**n)) + 1e-8))[rows]
+        step(ids, at)
+        assert np.abs(step.net.flat - net.flat).max() < 1e-4
+
+
 def test_counts_and_cells_against_brute_force(spark, sf):
     """All counts, the commonest words, and shares of each cell that sum to one."""
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    want = Counter(w for t in texts for w in M.words_of(t or ""))
+    want = Counter(w for t in texts for w in plain_words(t))
     counts = M.count_words(M.only(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text"))
     assert {bytes(r.word): r.n for r in counts.collect()} == want
     words = M.vocabulary(counts)
@@ -120,5 +165,5 @@ def test_nulls_ties_long_texts_and_clashing_names(spark):
 def test_whole_table_is_scored(spark, sf):
     rows = op5_masked_likelihood(spark, sf).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    assert {r.doc_id: r.n_tokens for r in rows} == {i: len(M.words_of(t or "")) for i, t in docs.items()}
+    assert {r.doc_id: r.n_tokens for r in rows} == {i: len(plain_words(t)) for i, t in docs.items()}
     assert all(r.log_prob < 0 and abs(r.log_prob / r.n_tokens - r.per_token) < 1e-9 for r in rows if r.n_tokens)
