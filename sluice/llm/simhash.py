@@ -18,6 +18,12 @@ candidates if any pair of fingerprints passes the ring, and are decided by the e
 similarity of their shingles. At a similarity of 0.8 about 15 % of the bits differ, so that seven
 bits at most differ in one of sixteen fingerprints in 98 of 100 cases; at 0.85 in nearly all.
 
+A large group of near copies would meet itself in nearly every run of the ring. So a bounded sample of
+the signatures tells where they are dense: each row near a centre there belongs to that centre's zone.
+The ring leaves pairs of one zone out; these are decided inside the zone, block by block, each row
+once for each block, by the same fingerprints and the same sets. Zones only say where a pair is
+decided: rows that the sample doesn't show to be dense have no zone, and meet in the ring.
+
 Defined results: a null text is empty, and an empty text (no word) has fingerprint 0, which links
 like any other; fewer words than a shingle are one shingle; repeated rows get the same component;
 a null doc_id is kept and takes no part in naming a component. An empty table gives an empty table.
@@ -49,6 +55,9 @@ CENTRES = 1  # rows of a dense run that all others are compared with at first
 WHOLE = 0.19  # of all bits of two signatures that may differ there: at a similarity of 0.8 the mean is 0.1515, its deviation 0.0112
 ROUNDS = (64, None)  # and further on, of those that are out of its commonest component
 DOMAIN = 1 << 20  # values of segments that are counted
+SAMPLE, DENSE = 4096, 8  # rows of the sample that zones are found by, and how many of them make one
+ZONES, RADIUS = 64, 0.3  # most zones, and the part of all bits that may differ from a zone's centre
+BLOCK, BLOCKS, HASHES = 128, 64, 1 << 21  # rows of a block; beyond so many blocks they grow, up to so many shingles on average
 
 _BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.float32)
 _SALTS = np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -230,22 +239,46 @@ def _joining(bits: int, small: int, large: int) -> Callable:
 
 
 def _meeting(bits: int, small: int) -> Callable:
-    """search(start, f, rep, run) -> (run, a, b): candidates, of run -1, and the rows (run, rep, fingerprint) of long dense runs."""
+    """search(start, f, rep, run) -> (run, a, b): candidates, of run -1, and the rows (run, rep, fingerprint) of long dense runs.
+
+    Pairs of one zone, which start tells beside the chain, are no candidates here.
+    """
 
     def search(start: np.ndarray, f: np.ndarray, rep: np.ndarray, run: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start, zone = start & 15, (start >> 4) - 1
         out: list[tuple[np.ndarray, ...]] = []
         count = [0, TaskContext.get().partitionId() << 40 if TaskContext.get() else 0]
 
         def found(a: np.ndarray, b: np.ndarray) -> None:
-            a, b = rep[a], rep[b]
+            apart = (zone[a] != zone[b]) | (zone[a] < 0)
+            a, b = rep[a[apart]], rep[b[apart]]
             out.append((np.full(len(a), -1), np.minimum(a, b), np.maximum(a, b)))
 
+        def strangers(f: np.ndarray, at: np.ndarray) -> bool:
+            """Whether all candidates of a run are found by its rows out of its commonest zone: if that holds half of it, and they are few."""
+            of = zone[at]
+            most = np.bincount(of + 1, minlength=2)[1:].argmax()
+            left = np.flatnonzero(of != most)
+            if 2 * len(left) > len(f):
+                return False
+            pairs, step = [(left[:0], left[:0])], max(1, (1 << 18) // len(f))
+            for k in range(0, len(left), step):
+                a, b = np.nonzero(np.bitwise_count(f[left[k : k + step], None] ^ f[None, :]) <= bits)
+                pairs.append((left[k + a], b))
+                if sum(len(b) for _, b in pairs) > 4 * len(f):
+                    return False
+            a, b = (np.concatenate(x) for x in zip(*pairs))
+            found(at[a[a != b]], at[b[a != b]])
+            return True
+
         def long(f: np.ndarray, at: np.ndarray, s: int, level: int, dense: bool) -> None:
             """Rows around a centre are a run of their own. A row beyond that is near only to rows that are beyond, or nearly so: they are searched on.
 
             The centre is the row nearest to the majority, bit by bit, of the rows near a probe. The chains of one fingerprint share it
             for the most part: it names the run, so that what several chains find around it is one run.
             """
+            if strangers(f, at):
+                return
             name, apart = search.base + count[0] + count[1], np.zeros(len(f), np.uint8)
             if dense:
                 most = max((np.bitwise_count(f ^ f[len(f) * k // PROBES]) <= bits for k in range(PROBES)), key=np.count_nonzero)
@@ -281,7 +314,7 @@ def _meeting(bits: int, small: int) -> Callable:
 
 
 def _searched(reps: DataFrame, bits: int, prints: int, make: Callable, ddl: str) -> DataFrame:
-    """What make()() yields over the rows of each key; reps: (sig array<long>, rep long)."""
+    """What make()() yields over the rows of each key; reps: (sig array<long>, rep long), and maybe (zone int), which is sent with the chain."""
     if not 0 < bits < 16:
         raise ValueError("bits must be between 1 and 15")
     ring = segments(bits)
@@ -304,29 +337,31 @@ def _searched(reps: DataFrame, bits: int, prints: int, make: Callable, ddl: str)
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["key", "n"])
 
-    named = reps.where("rep is not null").select("sig", "rep")
+    zoned = "zone" in reps.columns
+    named = reps.where("rep is not null").select("sig", "rep", *["zone"] * zoned)
     heavy = np.zeros(0, np.int64)
     if domain <= DOMAIN:  # so at most as many keys; others have values of 21 bits or more
         counts = named.mapInArrow(tally, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY)
         heavy = np.sort(np.array([r["key"] for r in counts.select("key").collect()], np.int64))
 
     def deal(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(key: np.ndarray, chain: int, f: np.ndarray, rep: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), chain, np.int32)), pa.array(f.view(np.int64)), rep], names=["key", "chain", "fp", "rep"])
+        def batch(key: np.ndarray, chain: np.ndarray, f: np.ndarray, rep: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(chain), pa.array(f.view(np.int64)), rep], names=["key", "chain", "fp", "rep"])
 
         for part in parts:
+            zone = part.column(2).to_numpy() * 16 + 16 if zoned else np.zeros(len(part), np.int32)
             for k, key, f in values(part):
                 finer = np.isin(key, heavy)
                 few = np.flatnonzero(~finer)
                 if len(few):
-                    yield batch(key[few], k, f[few], part.column(1).take(pa.array(few)))
+                    yield batch(key[few], zone[few] + np.int32(k), f[few], part.column(1).take(pa.array(few)))
                 if len(few) < len(key):
                     many = np.flatnonzero(finer)
                     shift, width = ring[(k + 1) % len(ring)]
                     seg = (f[many] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
                     rep = part.column(1).take(pa.array(many))
                     for j in range(width):
-                        yield batch(((key[many] * 64 + j + 1) << max(w for _, w in ring)) + (seg & ~np.uint64(1 << j)).astype(np.int64) + (1 << 62), k, f[many], rep)
+                        yield batch(((key[many] * 64 + j + 1) << max(w for _, w in ring)) + (seg & ~np.uint64(1 << j)).astype(np.int64) + (1 << 62), zone[many] + np.int32(k), f[many], rep)
 
     def search(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key; they are searched CHUNK or more at a time, whole keys only."""
@@ -422,16 +457,40 @@ def similar(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(both * least.denominator >= union * least.numerator).select("a", "b")
 
 
+def _together(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each value of the first column, by which they are sorted."""
+    held: list[pa.RecordBatch] = []
+    for part in filter(len, parts):
+        key = part.column(0).to_numpy()
+        edge = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+        for a, z in zip(edge, edge[1:]):
+            if held and held[0].column(0)[0].as_py() != key[a]:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(part.slice(a, z - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _signatures(column: pa.ChunkedArray, prints: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, prints)
+
+
 def _further(rows: DataFrame, done: int, most: int | None, bits: int, prints: int) -> DataFrame:
-    """(a, b): in each run (run, rep, fp, root, sig), the near pairs of other roots with the rows out of the commonest root, from `done` to `most`."""
+    """(a, b): in each run (run, rep, fp, root, zone, sig), the near pairs of other roots with the rows out of the commonest root, from `done` to `most`.
+
+    Pairs of one zone are left out.
+    """
 
-    def pairs(rep: np.ndarray, f: np.ndarray, root: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(rep: np.ndarray, f: np.ndarray, root: np.ndarray, zone: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
         names, counts = np.unique(root, return_counts=True)
         left = np.flatnonzero(root != names[counts.argmax()])[done:most]
         step = max(1, (1 << 18) // len(f))
         for k in range(0, len(left), step):
             some = left[k : k + step]
             a, b = np.nonzero((np.bitwise_count(f[some, None] ^ f[None, :]) <= bits) & (root[some, None] != root[None, :]))
+            apart = (zone[some[a]] != zone[b]) | (zone[b] < 0)
+            a, b = a[apart], b[apart]
             near = np.zeros(len(a), np.int64)
             for p in range(prints):
                 near += np.bitwise_count(sig[some[a], p] ^ sig[b, p])
@@ -440,23 +499,108 @@ def _further(rows: DataFrame, done: int, most: int | None, bits: int, prints: in
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for part in filter(len, parts):
-            now = [*(c.to_numpy() for c in part.columns[:4]), part.column(4).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, prints)]
-            edge = [0, *(np.flatnonzero(np.diff(now[0])) + 1).tolist(), len(now[0])]
-            for a, z in zip(edge, edge[1:]):
-                if held and held[0][0][0] != now[0][a]:
-                    yield from whole(held)
-                    held = []
-                held.append([c[a:z] for c in now])
-        if held:
-            yield from whole(held)
+        for rows in _together(parts):
+            rep, fp, root, zone = (c.to_numpy() for c in rows.columns[1:5])
+            yield from pairs(rep, fp.view(np.uint64), root, zone, _signatures(rows.column(5), prints))
+
+    return rows.select("run", "rep", "fp", "root", "zone", "sig").repartition("run").sortWithinPartitions("run", "rep").mapInArrow(run, "a long, b long").distinct()
+
+
+def _centres(reps: DataFrame, prints: int) -> tuple[list[int], np.ndarray]:
+    """(reps, signatures) of the zones' centres: in turn the row of the sample that is most like others, of those with DENSE others in their radius."""
+    rows = reps.count()
+    some = reps.where(F.pmod(F.xxhash64("rep"), F.lit(max(rows, 1))) < SAMPLE).select("rep", "sig").collect()
+    some.sort(key=lambda r: (r["rep"], r["sig"]))
+    sig = np.array([r["sig"] for r in some], np.int64).reshape(-1, prints).view(np.uint64)
+    apart = np.zeros((len(sig), len(sig)), np.int16)
+    for p in range(prints):
+        apart += np.bitwise_count(sig[:, p, None] ^ sig[None, :, p])
+    around, like = apart <= RADIUS * 64 * prints, apart <= WHOLE * 64 * prints
+    free, chosen = np.ones(len(sig), bool), []
+    while len(chosen) < ZONES:
+        dense = free & ((around & free).sum(1) >= DENSE)
+        if not dense.any():
+            break
+        chosen.append(int(np.where(dense, (like & free).sum(1), 0).argmax()))
+        free &= ~around[chosen[-1]]
+    return [some[k]["rep"] for k in chosen], sig[chosen]
+
+
+def _zoned(reps: DataFrame, centres: np.ndarray, prints: int) -> DataFrame:
+    """reps (same, rep, n, sig) with the zone (int) of the nearest centre in reach, or -1."""
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            sig = part.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, prints)
+            least, zone = np.full(len(sig), int(RADIUS * 64 * prints) + 1), np.full(len(sig), -1, np.int32)
+            for k, centre in enumerate(centres):
+                apart = np.bitwise_count(sig ^ centre).sum(1, dtype=np.int64)
+                nearer = apart < least
+                least[nearer], zone[nearer] = apart[nearer], k
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(zone)], names=["same", "rep", "n", "sig", "zone"])
 
-    def whole(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        _, rep, fp, root, sig = (np.concatenate(c) for c in zip(*held))
-        yield from pairs(rep, fp.view(np.uint64), root, sig)
+    return reps.select("same", "rep", "n", "sig").mapInArrow(run, "same binary, rep long, n long, sig array<long>, zone int")
+
+
+def _inside(zoned: DataFrame, whole: DataFrame, centres: list[int], bits: int, prints: int, least: Fraction) -> DataFrame:
+    """(a, b): links that join all rows of a zone that near copies join.
+
+    A zone's rows are dealt into blocks, and each two blocks, and each alone, meet in a group with the centre. Rows that are
+    near copies of the centre are joined from the start; each other row is compared with all rows of the other block.
+    """
+    counts = zoned.where("zone >= 0").groupBy("zone").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect()
+    sizes = {r["zone"]: max(min(BLOCKS, -(-r["rows"] // BLOCK)), -(-r["n"] // HASHES)) for r in counts}
+    blocks = F.get(F.array(*[F.lit(sizes.get(k, 1)) for k in range(len(centres))]), "zone")
+    rows = zoned.where("zone >= 0").join(whole, "rep").select("rep", "sig", "hashes", "zone", (blocks - 1).alias("last"))
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("rep"), F.col("last") + 1).cast("int"))
+    every = rows.withColumn("other", F.explode(F.expr("sequence(0, last)"))).withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
+    middle = rows.where(F.col("rep") == F.get(F.array(*map(F.lit, centres)), "zone")).withColumn("side", F.lit(-1))
+    middle = middle.withColumn("i", F.explode(F.expr("sequence(0, last)"))).withColumn("j", F.explode(F.expr("sequence(i, last)")))
+    key = F.col("zone").cast("long") * (1 << 40) + F.col("i").cast("long") * (1 << 20) + F.col("j")
+    met = [x.select(key.alias("key"), "side", "rep", "sig", "hashes") for x in (every, middle)]
+
+    def solve(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        key, side, rep = rows.column(0)[0].as_py(), rows.column(1).to_numpy(), rows.column(2).to_numpy()
+        alone = (key >> 20) % (1 << 20) == key % (1 << 20)
+        sig, sets = _signatures(rows.column(3), prints), rows.column(4).combine_chunks()
+        size = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        edge = np.concatenate(([0], np.cumsum(size)))
+        names, code = np.unique(sets.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        joined, mark, todo = Joined(len(rep)), np.zeros(len(names), bool), side >= 0
+
+        def links(x: int, among: np.ndarray) -> np.ndarray:
+            """Of each other root a row among these that is a near copy of x."""
+            root = joined.settle()
+            near = np.flatnonzero(among & (root != root[x]))
+            near = near[(np.bitwise_count(sig[near] ^ sig[x]) <= bits).any(1)]
+            if len(near):
+                own = code[edge[x] : edge[x + 1]]
+                mark[own] = True
+                sums = np.concatenate(([0], np.cumsum(mark[code])))
+                mark[own] = False
+                both = sums[edge[near + 1]] - sums[edge[near]]
+                near = near[both * least.denominator >= (size[near] + size[x] - both) * least.numerator]
+                near = near[np.unique(root[near], return_index=True)[1]]
+                joined.add(np.full(len(near), x), near)
+            return near
+
+        y = links(0, todo)  # the centre comes first
+        if alone:  # else other groups say the same
+            yield rep[np.zeros(len(y), np.int64)], rep[y]
+        for x in np.flatnonzero(todo & (joined.settle() != joined.root[0])).tolist():
+            root = joined.settle()
+            if root[x] != root[0]:  # those that are joined to it by now are met by the others
+                y = links(x, todo if alone else todo & (side != side[x]))
+                todo[x] = False
+                yield rep[np.full(len(y), x)], rep[y]
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _together(parts):
+            a, b = (np.concatenate(c) for c in zip(*[(np.zeros(0, np.int64),) * 2, *solve(rows)]))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return rows.select("run", "rep", "fp", "root", "sig").repartition("run").sortWithinPartitions("run", "rep").mapInArrow(run, "a long, b long").distinct()
+    dealt = met[0].union(met[1]).repartition("key").sortWithinPartitions("key", "side", "rep")
+    return dealt.mapInArrow(run, "a long, b long").where("a <> b")
 
 
 def near_copies(
@@ -465,23 +609,29 @@ def near_copies(
     """(doc_id, component_id) of each row of a doc_id; component_id is the smallest doc_id that near copies reach.
 
     Candidates are texts of which one of `prints` fingerprints differs in at most `bits` bits; they are
-    near copies if their distinct shingles have a Jaccard similarity of `least` or more. In a long dense
-    run rows are compared with its first CENTRES rows; then, in the ROUNDS, with some and at last with
+    near copies if their distinct shingles have a Jaccard similarity of `least` or more. Those of one
+    zone are decided inside it; others as the ring finds them. In a long dense run rows are compared with its first CENTRES rows; then, in the ROUNDS, with some and at last with
     all rows that are out of the run's commonest component, and only where components differ: so n
     copies of each other give n links or so, and no pair is left out but those that are joined already.
     """
     bound = Fraction(least)
     texts = only(docs, id_col, text_col).where("doc_id is not null")
     of = keep(shingle_sets(texts, shingle, prints), "sets")
-    reps = keep(of.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "reps")
+    plain = keep(of.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "reps")
+    centres, of_centres = _centres(plain, prints)
+    reps = keep(_zoned(plain, of_centres, prints), "zoned")
+    release(plain)
     small = max(2, SMALL // 2)  # each candidate costs a look at two whole sets
     met = keep(_searched(reps, bits, prints, lambda: _meeting(bits, small), "run long, a long, b long"), "met")
     pairs = met.where("run < 0 and a <> b").select("a", "b").distinct()
     dense = keep(met.where("run >= 0").select("run", F.col("a").alias("rep"), F.col("b").alias("fp")).distinct(), "dense")
-    named = met.select(F.col("a").alias("doc_id")).union(met.where("run < 0").select("b")).distinct()
+    named = met.select(F.col("a").alias("doc_id")).union(met.where("run < 0").select("b")).union(reps.where("zone >= 0").select("rep")).distinct()
     # Of rows that repeat a doc_id one is taken, the same for all pairs.
     whole = keep(whole_sets(texts.join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), shingle), "whole")
-    found = keep(similar(pairs, whole, bound), "links")
+    found = similar(pairs, whole, bound)
+    if centres:
+        found = found.union(_inside(reps, whole, centres, bits, prints, bound))
+    found = keep(found, "links")
     labels = keep(components(found), "labels")
     every = [found]
     done, left = 0, None
@@ -490,7 +640,7 @@ def near_copies(
             rows = dense.join(labels, dense["rep"] == labels["node"], "left").withColumn("root", F.coalesce("root", "rep"))
             open_ = rows.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
             rows = rows.join(open_.select("run"), "run").select("run", "rep", "fp", "root")
-            left = keep(rows.join(reps.select("rep", "sig"), "rep").select("run", "rep", "fp", "root", "sig"), "left")
+            left = keep(rows.join(reps.select("rep", "zone", "sig"), "rep").select("run", "rep", "fp", "root", "zone", "sig"), "left")
         if left.isEmpty():
             break
         found = keep(similar(_further(left, done, most, bits, prints), whole, bound), "links")

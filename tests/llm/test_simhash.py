@@ -139,6 +139,38 @@ def test_graded_group_against_all_pairs(spark, monkeypatch, small, heavy):
     assert got == want and 20 < len(set(want.values())) < len(rows) - 60
 
 
+@pytest.mark.parametrize("block", [40, 128])
+def test_large_group_costs_its_rows_and_not_its_pairs(spark, monkeypatch, block):
+    """400 graded near copies beside other texts: what the search gives and what joins decide stays below a few rows each, and no link is lost."""
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    rng = np.random.default_rng(11)
+    base, rows = [f"w{k}" for k in range(200)], []
+    for k in range(400):
+        words = list(base)
+        for at in rng.choice(200, k % 10, replace=False):
+            words[at] = f"x{rng.integers(0, 10**6)}"
+        rows.append((3 * k, " ".join(words)))
+    for k in range(100):
+        rows.append((2000 + k, " ".join(f"y{x}" for x in rng.integers(0, 10**6, 120))))
+    want, similar, _ = brute_sets(rows)
+    made, real, decide = [], simhash._searched, simhash.similar
+
+    def searched(*given):
+        found = real(*given)
+        made.append(found.count())
+        return found
+
+    def decided(pairs, *given):
+        made.append(pairs.count())
+        return decide(pairs, *given)
+
+    monkeypatch.setattr(simhash, "_searched", searched)
+    monkeypatch.setattr(simhash, "similar", decided)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == want and 150 < len(set(want.values())) < 450 and similar > 20 * len(rows)
+    assert sum(made) < 4 * len(rows), made
+
+
 @pytest.mark.parametrize("bits", [3, 4])
 def test_values_dealt_by_the_second_segment_too(spark, monkeypatch, bits):
     monkeypatch.setattr(simhash, "HEAVY", 10)
